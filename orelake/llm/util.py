@@ -120,7 +120,10 @@ def join_side(big: DataFrame, small: DataFrame, on, how: str, bytes_per_row: int
 
 
 def _forest(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Edges of a partition reduced to one edge for each node and its smallest partner here."""
+    """Edges of a partition reduced to one edge for each node and its smallest partner here.
+
+    Edges come dealt by their larger node, so a node of many edges leaves one partition with one edge.
+    """
     up: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -148,7 +151,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Nodes without edges aren't returned. Nothing but a count and a checksum reaches the driver.
     """
     e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b")
-    e = cut(arrow_map(e, _forest, "a long, b long", 4096).distinct())
+    e = cut(arrow_map(e.repartition("a"), _forest, "a long, b long", 4096).distinct())
     sign = None
     while True:
         both = e.union(e.select("b", "a"))
@@ -157,7 +160,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = large.where("a <> b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low2.select("a", F.col("m").alias("b"))).distinct()
-        e = cut(arrow_map(small, _forest, "a long, b long", 4096).distinct())
+        e = cut(arrow_map(small.repartition("a"), _forest, "a long, b long", 4096).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == sign:
             break

@@ -166,10 +166,10 @@ class Labeller:
 
 
 def learn(docs: DataFrame, sample_docs: int = 1500, max_grams: int = 150_000) -> Model:
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket("doc_id") != 0))
-    sizes = known.groupBy("lang").count()
+    known = only(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket("doc_id") != 0))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
     hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    chosen = known.join(F.broadcast(sizes), "lang").where(hash_ * F.col("count") < F.lit(float(sample_docs) * (1 << 20)))
+    chosen = known.join(F.broadcast(sizes), "lang").where(hash_ * F.col("size") < F.lit(float(sample_docs) * (1 << 20)))
 
     def count(it: Iterator[tuple]) -> Iterator[tuple]:
         by: dict[str, Counter] = {}

@@ -180,6 +180,16 @@ def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> DataFr
     return d.withColumn("q_base_failed", base_failed()).withColumn("q_rule", condition(rules)).withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_rule") == 0))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> DataFrame:
+    """``docs`` without the rows that are rejected.
+
+    The row number is there to keep the filter above the statistics: pushed below them, each of its terms would carry
+    a copy of all they are made of, and the plan would grow without end.
+    """
+    d = judge(docs, labels, sample_rows).withColumn("q__stop", F.monotonically_increasing_id())
+    return d.where(F.col("q_kept") & (F.col("q__stop") >= 0)).select(docs.columns)
+
+
 def rule_digests(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> DataFrame:
     d = judge(docs.select("doc_id", "text"), labels, sample_rows)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -24,7 +24,7 @@ def _with_size(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule or the learned list rejects go."""
-    return rules.judge(docs, table(spark, sf_dir, "labels")).where("q_kept").select(docs.columns)
+    return rules.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ probability (1 - (1 - s**ROWS)**TABLES)**2, at 0.85 above 0.998 for 4 rows and 1
 4. The sets of components of two or more classes are read again and verified in full: a component is dealt into blocks
    of bounded size, and each pair of blocks is one group. In it, a prefix index ordered by rarity finds the pairs that
    can reach the threshold, pairs already joined are passed over, and the links that join something leave the group.
-5. The components of the verified links are the result.
+5. The components of the verified links are the result; those of a component of one block are found in its group.
 
 Defined cases: a null or empty text, or one without words, has the empty set and is linked with nothing; a text of
 fewer words than a shingle has the whole sequence as its one shingle. Rows that share a doc_id are one document: their
@@ -165,6 +165,22 @@ def links(members: list[tuple[int, int, np.ndarray]], threshold: int, same: bool
     return out
 
 
+def star_edges(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Each linked node with the smallest node that it reaches."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        ra, rb = find(a), find(b)
+        up[max(ra, rb)] = min(ra, rb)
+    return [(x, find(x)) for x in list(up) if find(x) != x]
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, rows: int = ROWS, tables: int = TABLES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, digest, component_id, kept for each row of ``docs``."""
     s = cut(sketch(docs, size, rows, tables, id_col, text_col))
@@ -196,18 +212,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, rows: i
     dealt = full.join(wanted, ["node", "digest"])
     block = F.pmod(F.xxhash64("node", "digest"), F.col("nb")).cast("int")
     dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "node", "block", "digest", "hashes")
-    schema = "a long, b long"
+    dealt = dealt.select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "nb", "node", "block", "digest", "hashes")
 
     def solve(pdf):
         import pandas as pd
 
         pdf = pdf.drop_duplicates("digest")
         members = [(n, b, np.frombuffer(h, np.uint64)) for n, b, h in zip(pdf["node"], pdf["block"], pdf["hashes"])]
-        return pd.DataFrame(links(members, threshold, bool(pdf["x"].iloc[0] == pdf["y"].iloc[0])), columns=["a", "b"]).astype("int64")
-
-    found = dealt.groupBy("component", "x", "y").applyInPandas(solve, schema)
-    final = cut(components(found))
+        got = star_edges(links(members, threshold, bool(pdf["x"].iloc[0] == pdf["y"].iloc[0])))
+        return pd.DataFrame(got, columns=["a", "b"]).astype("int64").assign(nb=pdf["nb"].iloc[0])
+
+    found = cut(dealt.groupBy("component", "x", "y").applyInPandas(solve, "a long, b long, nb int"))
+    # A component of one block is solved there; only the links of the others go through rounds.
+    final = found.where("nb = 1").select(F.col("a").alias("node"), F.col("b").alias("component"))
+    rest = found.where("nb > 1")
+    if not rest.isEmpty():
+        final = cut(final.union(components(rest)))
     classed = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("of_class"))
     by_row = s.drop("halves").join(classed, "digest", "left")
     component = F.coalesce("of_class", "id")

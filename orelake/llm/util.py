@@ -147,20 +147,27 @@ def _forest(rows: Iterator[tuple]) -> Iterator[tuple]:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge table: columns node, component (the smallest node reachable).
 
-    Alternates large-star and small-star rounds, each with a checkpoint, until the edge set no longer changes.
+    Alternates large-star and small-star rounds, each with a checkpoint, until the edge set no longer changes. A round
+    makes at most two edges of one, and each task's forest drops repeated ones, so no round needs a distinct of its own.
     Nodes without edges aren't returned. Nothing but a count and a checksum reaches the driver.
     """
-    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b")
-    e = cut(arrow_map(e.repartition("a"), _forest, "a long, b long", 4096).distinct())
+
+    def both_ways(x: str, y: str, u: str, v: str):
+        ends = [F.struct(F.col(p).alias("a"), F.col(q).alias("b")) for p, q in ((x, y), (u, v))]
+        return F.inline(F.array(*ends))
+
+    def shrink(df: DataFrame) -> DataFrame:
+        return cut(arrow_map(df.repartition("a"), _forest, "a long, b long", 4096))
+
+    e = shrink(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b"))
     sign = None
     while True:
-        both = e.union(e.select("b", "a"))
+        both = e.select(both_ways("a", "b", "b", "a"))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low2.select("a", F.col("m").alias("b"))).distinct()
-        e = cut(arrow_map(small.repartition("a"), _forest, "a long, b long", 4096).distinct())
+        small = large.join(low2, "a").select(both_ways("b", "m", "a", "m")).where("a <> b")
+        e = shrink(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == sign:
             break

@@ -9,7 +9,8 @@ slots vary and hold content.
 
 A page's main text is what varies inside its content element: ``article`` or ``main`` if there is one, else the child
 of ``body`` whose varying blocks hold the most text outside links. Elements whose names, classes or ids say what they
-are (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) never are content.
+are (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles) never are content. The
+wrapper decides within ``article`` and ``main`` too.
 
 Plan. Wrappers of a host are merged, which is associative: each task merges its own pages' trees by host first, then
 partial wrappers meet by (host, salt), then by host. A host of a third of all pages so is one small row from each task.
@@ -227,25 +228,34 @@ class Wrapper:
         return Wrapper(*json.loads(zlib.decompress(data)))
 
     def template(self) -> dict:
-        """The nodes whose text is template, as nested dicts by place in the list and key; {} if too few pages."""
-        if self.pages < ENOUGH:
+        """The texts that are template, as nested dicts by key: (digests, children); {} if too few pages."""
+        if len(self.seen) < ENOUGH:  # pages counts a page again that two tasks hold
             return {}
 
-        def walk(nodes: list) -> dict:
-            return {key: (text if text is not None and n >= SHARE * self.pages else None, walk(kids)) for key, n, text, kids in nodes}
+        def walk(nodes: list, into: dict) -> dict:
+            for key, n, text, kids in nodes:
+                constant, below = into.setdefault(key, (set(), {}))  # nodes of one key at several places share an entry
+                if text is not None and n >= SHARE * self.pages:
+                    constant.add(text)
+                walk(kids, below)
+            return into
 
-        return walk(self.tree)
+        return walk(self.tree, {})
 
 
-def blocks(node: Node, template: dict, out: list[str]) -> None:
+NO_TEMPLATE: tuple = (frozenset(), {})
+
+
+def blocks(node: Node, template: tuple, out: list[str]) -> None:
     """Texts of content blocks in page order; text between block elements is a block of its own."""
     held: list[str] = []
     constant, kids = template
+    varies = not constant or zlib.crc32(own_text(node).encode("utf-8", "surrogatepass")) not in constant
 
     def flush() -> None:
         if held:
-            text = squeeze("".join(held))
-            if text and (constant is None or zlib.crc32(text.encode("utf-8", "surrogatepass")) != constant):
+            text = squeeze("".join(held)) if varies else ""
+            if text:
                 out.append(text)
             held.clear()
 
@@ -255,7 +265,7 @@ def blocks(node: Node, template: dict, out: list[str]) -> None:
         else:
             flush()
             if not p.never:
-                blocks(p, kids.get(p.key, (None, {})), out)
+                blocks(p, kids.get(p.key, NO_TEMPLATE), out)
     flush()
 
 
@@ -266,7 +276,7 @@ def _weight(node: Node) -> int:
 def _find(node: Node, names: tuple[str, ...], template: tuple, found: list) -> None:
     for p in node.parts:
         if isinstance(p, Node) and not p.never:
-            t = template[1].get(p.key, (None, {}))
+            t = template[1].get(p.key, NO_TEMPLATE)
             if p.name in names:
                 found.append((p, t))
             else:
@@ -275,15 +285,14 @@ def _find(node: Node, names: tuple[str, ...], template: tuple, found: list) -> N
 
 def extract(page: str, template: dict, root: Node | None = None) -> str:
     root = root or parse(page)
-    top = (None, template)
+    top = (frozenset(), template)
     out: list[str] = []
     for names in (("article",), ("main",)):
         found: list = []
         _find(root, names, top, found)
         if found:
-            # An article carries the page's text whole; its constant blocks are template only outside of it.
-            for node, _ in found:
-                blocks(node, (None, {}), out)
+            for node, t in found:
+                blocks(node, t, out)
             return "\n".join(out)
     found = []
     _find(root, ("body",), top, found)
@@ -294,7 +303,7 @@ def extract(page: str, template: dict, root: Node | None = None) -> str:
         best = max(kids, key=_weight, default=None)
         if best is None or best.name not in ("div", "section", "center", "td", "table", "tbody", "tr") or _weight(best) < 0.6 * total:
             break
-        node, t = best, t[1].get(best.key, (None, {}))
+        node, t = best, t[1].get(best.key, NO_TEMPLATE)
     blocks(node, t, out)
     return "\n".join(out)
 

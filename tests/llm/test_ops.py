@@ -304,6 +304,15 @@ def test_html(spark):
     assert html.unescape("&amp;") == "&"
 
 
+def test_html_template_within_article_and_main(spark):
+    def page(i, name):
+        return f"<body><{name}><p>Read our terms</p><h1>Head {i}</h1><p>Part {i}.0</p><p>Part {i}.1</p><div class=c1>Tell <p>in {i}</p> a friend</div></{name}></body>"
+
+    rows = [(i, "http://a.example.com/", page(i, "article")) for i in range(12)] + [(i, "http://m.example.com/", page(i, "main")) for i in range(12, 24)]
+    got = {r.page_id: r.text for r in html_wrapper.page_digests(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Head {i}\nPart {i}.0\nPart {i}.1\nin {i}" for i in range(24)}
+
+
 def test_empty_tables_and_extra_columns(spark, docs, tmp_path):
     extra = lambda d: d.select("*", *[F.lit(1).alias(c) for c in ("digest", "node", "h", "keys", "count", "q_kept2", "component", "key")])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int, text string")

@@ -5,15 +5,17 @@ split there, and running lengths give the spans in code points. Private-use char
 replaced by another one of the same length, which no pattern takes.
 
 Method. Candidates are the base kinds' values and long mixed tokens that no base span covers. Their hashes are
-aggregated by distinct owners (``owner_col``) and distinct repositories (``repo_col``): a value that more than
-``max_owners`` owners hold is a widely copied example, a value of few owners looks live. Live mixed tokens are added to
-the spans as kind ``mixed``; base spans always stay, with a verdict each.
+aggregated by distinct owners (``owner_col``) and distinct repositories (``repo_col``) over all rows: a value that more
+than ``max_owners`` owners or more than ``max_repos`` repositories hold is a widely copied example, any other looks live.
+Live mixed tokens are added to the spans as kind ``mixed``; base spans always stay. Each base and mixed span carries its
+value's owners, repositories and verdict.
 
 Defined cases: a null text is an empty one; a null owner or repository counts as one value of its own; rows that repeat
 count again in no distinct count; an empty table gives an empty one; extra columns are ignored.
 
 Plan. The text is scanned once and left behind; what a checkpoint keeps is a few numbers for a row. The counts group by
-(hash, owner, repository) before they group by hash, so no value's rows meet in one task unaggregated.
+(hash, owner, repository) and by (hash, owner) and (hash, repository) before they group by hash, so no value's rows meet
+in one task unaggregated.
 """
 
 from __future__ import annotations
@@ -32,7 +34,11 @@ MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}[a-z])(?=[A-Za-z0-9+/_-]{
 KINDS = ("assign", "access", "hex", "mixed")
 OPEN, SHUT, BODY, OTHER = "\ue000", "\ue001", "\ue002", "\ue003"
 
+#: Repositories beyond which a value is widely copied, also within one owner.
+MAX_REPOS = 10
+
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+_JUDGED = "array<struct<start:int,kind:int,end:int,value:string,owners:bigint,repos:bigint,live:boolean>>"
 
 
 def _matches(text: Column, kind: int, pattern: str) -> Column:
@@ -84,25 +90,29 @@ def _hash(value: Column) -> Column:
     return F.xxhash64(value)
 
 
-def find_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id") -> DataFrame:
-    """id, n_assign, n_access, n_hex, base, live (mixed spans that look live), n_live_base (base values of few owners)."""
+def find_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_repos: int = MAX_REPOS) -> DataFrame:
+    """id, n_assign, n_access, n_hex, base and mixed (all spans with owners, repos, live), live (mixed spans that look live), n_live_base."""
     s = scan(docs, id_col, text_col, owner_col, repo_col).withColumn("row", F.monotonically_increasing_id())
     s = cut(s)  # from here on the row numbers are stored, not computed again
     found = s.where((F.size("base") > 0) | (F.size("mixed") > 0)).select("row", "owner", "repo", F.explode(F.concat("base", "mixed")).alias("s"))
     values = found.select("row", "owner", "repo", _hash(F.col("s.value")).alias("h"), F.col("s").alias("s"))
     owned = values.groupBy("h", "owner", "repo").agg(F.count("*").alias("hits"))
-    owned = owned.groupBy("h", "owner").agg(F.count("*").alias("repos"))
-    few = owned.groupBy("h").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")).where(F.col("owners") <= max_owners)
-    few = cut(few.select("h", "owners", "repos"))
-    live = join_side(values, few, "h", "inner", 32)
-    by_row = live.groupBy("row").agg(F.collect_list(F.when(F.col("s.kind") == 3, F.col("s"))).alias("live"), F.sum((F.col("s.kind") < 3).cast("long")).alias("n_live_base"))
+    held = cut(owned.groupBy("h").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repo").alias("repos")))
+    judged = join_side(values.select("row", "h", "s"), held, "h", "inner", 32)
+    live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.end", "s.value", "owners", "repos", live.alias("live")))).alias("judged"))
     by_row = cut(by_row)
-    out = join_side(s, by_row, "row", "left", 200)
-    none = F.from_json(F.lit("[]"), _SPAN)
-    return out.select(F.col("id").alias(id_col), F.col("n0").alias("n_assign"), F.col("n1").alias("n_access"), F.col("n2").alias("n_hex"), "base", F.coalesce("live", none).alias("live"), F.coalesce("n_live_base", F.lit(0)).alias("n_live_base"))
+    out = join_side(s.drop("base", "mixed"), by_row, "row", "left", 200)
+    out = out.withColumn("judged", F.coalesce("judged", F.from_json(F.lit("[]"), _JUDGED)))
+    base, mixed = F.filter("judged", lambda x: x["kind"] < 3), F.filter("judged", lambda x: x["kind"] == 3)
+    out = out.select("id", "n0", "n1", "n2", base.alias("base"), mixed.alias("mixed"))
+    n_live = F.size(F.filter("base", lambda x: x["live"])).cast("long")
+    return out.select(F.col("id").alias(id_col), F.col("n0").alias("n_assign"), F.col("n1").alias("n_access"), F.col("n2").alias("n_hex"), "base", "mixed", F.filter("mixed", lambda x: x["live"]).alias("live"), n_live.alias("n_live_base"))
 
 
-def secret_digests(docs: DataFrame, max_owners: int = 2) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row (and n_live_base)."""
-    f = find_secrets(docs, max_owners)
-    return f.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("base", "live")).alias("spans"), "n_live_base")
+def secret_digests(docs: DataFrame, max_owners: int = 2, max_repos: int = MAX_REPOS) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans for each row (and n_live_base, and a verdict for each span)."""
+    f = find_secrets(docs, max_owners, max_repos=max_repos)
+    names = F.array(*[F.lit(k) for k in KINDS])
+    verdict = F.transform(F.array_sort(F.concat("base", "mixed")), lambda x: F.struct(F.element_at(names, x["kind"] + 1).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["owners"].alias("owners"), x["repos"].alias("repos"), x["live"].alias("live")))
+    return f.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("base", "live")).alias("spans"), "n_live_base", verdict.alias("verdicts"))

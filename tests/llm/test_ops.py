@@ -216,6 +216,19 @@ def test_secrets(spark):
     assert "mixed:5:38" in got[0].spans and "mixed" not in got[10].spans
 
 
+def test_secrets_count_repositories(spark):
+    key, own = "Zz9" + "aB3xY7" * 5, "Qq1" + "kL8mN2" * 5
+    rows = [(i, f"{key} password=abcdefghijklm", None, None, 0) for i in range(30)] + [(100 + i, f"{own} {'0f' * 9}", None, f"s{i}", 0) for i in range(2)] + [(100, own, None, "s1", 0)]
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    copied = got[3]  # one owner (none named), 30 repositories: an example, not a key
+    assert copied.live == [] and copied.n_live_base == 0
+    assert [(s.kind, s.owners, s.repos, s.live) for s in copied.base + copied.mixed] == [(0, 1, 30, False), (3, 1, 30, False)]
+    mine = got[101]  # two owners and two repositories, one of which both owners hold
+    assert [(s.kind, s.owners, s.repos, s.live) for s in mine.base + mine.live] == [(2, 2, 2, True), (3, 2, 2, True)] and mine.n_live_base == 1
+    digest = {r.doc_id: r for r in secrets.secret_digests(spark.createDataFrame(rows[:30], SCHEMA)).collect()}[3]
+    assert "mixed" not in digest.spans and [(v.kind, v.owners, v.repos, v.live) for v in digest.verdicts] == [("mixed", 1, 30, False), ("assign", 1, 30, False)]
+
+
 def test_rules(spark, docs, rows):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in rules.rule_digests(docs, labels).collect()}

@@ -1,9 +1,9 @@
 """Language ID: script ranges narrow the candidates, then Viterbi over per-word scores with a switching penalty.
 
 Learning. Character 1- to 3-grams of lower-case words, with word ends, are counted by language on the executors over a
-bounded sample (about ``sample_docs`` documents of each language, by hash of the id, none held out); the ``max_grams``
-most frequent are the model. A script's candidates are the languages that hold at least a hundredth of the script's
-letters there; a script nobody has leaves all of them.
+bounded sample (about ``sample_docs`` documents of each language, by hash of the id, none held out); the most frequent
+``max_grams`` of each language are the model. A script's candidates are the languages that write at least a hundredth of
+their own letters in it; a script no language writes so leaves all of them.
 
 Labelling. A word's score for a language is the mean log probability of its grams, times a bounded length; languages
 that don't write its script are out. Viterbi finds the best sequence of languages where each switch costs ``PENALTY``. It
@@ -23,7 +23,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .util import arrow_map, crc_bucket, only
@@ -66,7 +66,9 @@ class Model:
             table[gram] = np.log((v + 0.2) / (totals[k] + 0.2 * kinds[k])).astype(np.float32)
         self.table = table
         self.unseen = {k: np.log(0.2 / (totals[k] + 0.2 * max(1, kinds[k]))).astype(np.float32) for k in (1, 2, 3)}
-        self.out = {s: np.where(v >= 0.01 * v.sum(), 0, -1e4).astype(np.float32) for s, v in scripts.items()}
+        own = sum(scripts.values(), np.zeros(n))
+        writes = {s: (v > 0) & (v >= 0.01 * own) for s, v in scripts.items()}
+        self.out = {s: np.where(v, 0, -1e4).astype(np.float32) for s, v in writes.items() if v.any()}
 
     def word(self, w: str) -> tuple[np.ndarray, int]:
         """Scores by language, and the number of letters."""
@@ -166,6 +168,7 @@ class Labeller:
 
 
 def learn(docs: DataFrame, sample_docs: int = 1500, max_grams: int = 150_000) -> Model:
+    """``max_grams`` is for each language, so that much text of one takes no grams from another."""
     known = only(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket("doc_id") != 0))
     sizes = known.groupBy("lang").agg(F.count("*").alias("size"))
     hash_ = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
@@ -187,7 +190,8 @@ def learn(docs: DataFrame, sample_docs: int = 1500, max_grams: int = 150_000) ->
             yield from ((lang, g, n) for g, n in c.items())
 
     counted = arrow_map(only(chosen, "lang", "text"), count, "lang string, gram string, n long", 4096).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.col("gram").startswith("/").desc(), F.desc("n"), "lang", "gram").limit(max_grams)
+    order = Window.partitionBy("lang").orderBy(F.col("gram").startswith("/").desc(), F.desc("n"), "gram")
+    top = counted.withColumn("k", F.row_number().over(order)).where(F.col("k") <= max_grams).drop("k")
     return Model(sorted((r.lang, r.gram, r.n) for r in top.collect()))
 
 

@@ -280,6 +280,18 @@ def test_language(spark):
     assert [(s.lang, s.first, s.words) for s in spans] == [("en", 0, 5), ("de", 5, 6)]
 
 
+def test_language_of_little_text(spark):
+    r = random.Random(5)
+    big, small = ["thena", "ingly", "whose", "than"], ["qazu", "xiqo", "zuqi"]
+    rows = [(i, " ".join(r.choice(big) for _ in range(400)), "en", "s", 0) for i in range(100)] + [(100 + i, " ".join(r.choice(small) for _ in range(6)), "sm", "s", 0) for i in range(20)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    # No sampling; 20 grams for each language: a global count would leave the small one none.
+    model = langid.learn(d, max_grams=20)
+    assert {x.lang_pred for x in langid.predict(d.where("lang = 'sm'"), model).collect()} == {"sm"}
+    model = langid.Model([("en", "/Latin", 100_000), ("sm", "/Latin", 100), ("sm", "/Greek", 2), ("en", "a", 5), ("sm", "b", 5)])
+    assert list(model.out["Latin"]) == [0, 0] and list(model.out["Greek"]) == [-10000, 0]
+
+
 def test_quality(spark):
     rows, d, labels = learnable(spark)
     got = {r.doc_id: r for r in gam.score(d, labels).collect()}

@@ -5,6 +5,9 @@ bounded sample (about ``sample_docs`` documents of each language, by hash of the
 ``max_grams`` of each language are the model. A script's candidates are the languages that write at least a hundredth of
 their own letters in it; a script no language writes so leaves all of them.
 
+Words. A run of letters is split where the script changes and after every 40 letters; each piece is a word of its own,
+in learning and in labelling, so text without spaces is scored whole. Spans count in these words.
+
 Labelling. A word's score for a language is the mean log probability of its grams, times a bounded length; languages
 that don't write its script are out. Viterbi finds the best sequence of languages where each switch costs ``PENALTY``. It
 runs over many texts at once, word position by word position, so long and short texts cost their words only.
@@ -17,6 +20,7 @@ learned; ties go to the language that sorts first; a null doc_id counts as held
 from __future__ import annotations
 
 import bisect
+import itertools
 import math
 import re
 from collections import Counter
@@ -33,16 +37,21 @@ PENALTY, WORDS_KEPT, BATCH_WORDS, BATCH_DOCS = 6.0, 300_000, 1_000_000, 4096
 #: First code points of ranges of scripts.
 SCRIPTS = [(0x0, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, "Gurmukhi"), (0xA80, "Gujarati"), (0xB00, "Oriya"), (0xB80, "Tamil"), (0xC00, "Telugu"), (0xC80, "Kannada"), (0xD00, "Malayalam"), (0xD80, "Sinhala"), (0xE00, "Thai"), (0xE80, "Lao"), (0xF00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2C00, "Other"), (0x3040, "Kana"), (0x3100, "Han"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0xFF21, "Latin"), (0xFF66, "Kana"), (0xFFA0, "Hangul"), (0xFFE0, "Other"), (0x20000, "Han"), (0x32000, "Other")]
 _starts = [s for s, _ in SCRIPTS]
-_word = re.compile(r"[^\W\d_]+")
+_word = re.compile(r"[^\W\d_]{1,40}")
 
 
 def script(c: str) -> str:
     return SCRIPTS[bisect.bisect_right(_starts, ord(c)) - 1][1]
 
 
+def pieces(word: str) -> list[str]:
+    """The word's parts of one script each."""
+    return [word] if word.isascii() else ["".join(g) for _, g in itertools.groupby(word, script)]
+
+
 def grams(word: str) -> list[str]:
-    w = f"^{word[:40]}$"
-    return [*word[:40], *map("".join, zip(w, w[1:])), *map("".join, zip(w, w[1:], w[2:]))]
+    w = f"^{word}$"
+    return [*word, *map("".join, zip(w, w[1:])), *map("".join, zip(w, w[1:], w[2:]))]
 
 
 class Model:
@@ -90,14 +99,20 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.m, self.ids = model, {}
+        self.parts: list[list[int]] = []  # of words of several scripts, whose ids are -1, -2, ...
         self.scores = np.zeros((1024, len(model.langs)), np.float32)
         self.letters = np.zeros(1024, np.int64)
 
     def _id(self, w: str) -> int:
         i = self.ids.get(w)
         if i is None:
+            several = pieces(w)
+            if len(several) > 1:
+                self.parts.append([self._id(p) for p in several])
+                i = self.ids[w] = -len(self.parts)
+                return i
             i = self.ids[w] = len(self.ids)
-            if i == len(self.letters):
+            if i >= len(self.letters):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
                 self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
             self.scores[i], self.letters[i] = self.m.word(w)
@@ -107,6 +122,7 @@ class Labeller:
         """For each text the languages of its words and their letters."""
         if len(self.ids) > WORDS_KEPT:
             self.ids.clear()
+            self.parts.clear()
         get, own = self.ids.get, self._id
         rows = []
         for t in texts:
@@ -114,6 +130,8 @@ class Labeller:
             got = [*map(get, ws)]
             if None in got:
                 got = [own(w) if i is None else i for w, i in zip(ws, got)]
+            if self.parts and got and min(got) < 0:
+                got = [x for i in got for x in ((i,) if i >= 0 else self.parts[-1 - i])]
             rows.append(np.array(got, np.int64))
         order = sorted(range(len(texts)), key=lambda i: -len(rows[i]))
         sizes = np.array([len(rows[i]) for i in order], np.int64)
@@ -181,9 +199,10 @@ def learn(docs: DataFrame, sample_docs: int = 1500, max_grams: int = 150_000) ->
             words = Counter(_word.findall(text.lower()))
             for w, n in words.items():
                 n = 1 + int(math.log2(n))
-                for g in grams(w):
-                    c[g] += n
-                c["/" + script(w[0])] += n * len(w)
+                for p in pieces(w):
+                    for g in grams(p):
+                        c[g] += n
+                    c["/" + script(p[0])] += n * len(p)
             if len(c) > 200_000:
                 yield from ((lang, g, n) for g, n in by.pop(lang).items())
         for lang, c in by.items():

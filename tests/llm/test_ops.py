@@ -292,6 +292,20 @@ def test_language_of_little_text(spark):
     assert list(model.out["Latin"]) == [0, 0] and list(model.out["Greek"]) == [-10000, 0]
 
 
+def test_language_without_spaces(spark):
+    r = random.Random(6)
+    make = lambda w, k: "".join(r.choice(w) for _ in range(k))
+    zh, ja, en = "中文字国学生大人天", "日本語会社東京都", "abcdefgh"
+    d = spark.createDataFrame([(3 * i + k, make(w, 300), lang, "s", 0) for i in range(60) for k, (w, lang) in enumerate(((zh, "zh"), (ja, "ja"), (en, "en")))], SCHEMA)
+    model = langid.learn(d)
+    # 40 letters of one language, then 400 of another, in one run; then runs that mix scripts.
+    texts = [make(zh, 40) + make(ja, 400), make(zh, 5) + make(en, 60), "中x" * 3000]
+    out = {x.doc_id: x for x in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, True).collect()}
+    assert out[0].lang_pred == "ja" and out[0].score == pytest.approx(400 / 440) and [s.lang for s in out[0].spans] == ["zh", "ja"]
+    assert out[1].lang_pred == "en" and [s.lang for s in out[1].spans] == ["zh", "en"]
+    assert sum(s.words for s in out[2].spans) == 6000
+
+
 def test_quality(spark):
     rows, d, labels = learnable(spark)
     got = {r.doc_id: r for r in gam.score(d, labels).collect()}

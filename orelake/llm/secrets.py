@@ -30,7 +30,7 @@ ASSIGN = r"""(?i)((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: The method's own kind: a run of 24 or more token characters with small and large letters and digits.
-MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}[a-z])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{24,200}(?![A-Za-z0-9+/_-])"
+MIXED = r"(?<![A-Za-z0-9+/_-])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{24,}+"
 KINDS = ("assign", "access", "hex", "mixed")
 OPEN, SHUT, BODY, OTHER = "\ue000", "\ue001", "\ue002", "\ue003"
 

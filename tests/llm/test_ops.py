@@ -229,6 +229,12 @@ def test_secrets_count_repositories(spark):
     assert "mixed" not in digest.spans and [(v.kind, v.owners, v.repos, v.live) for v in digest.verdicts] == [("mixed", 1, 30, False), ("assign", 1, 30, False)]
 
 
+def test_secrets_mixed_of_any_length(spark):
+    rows = [(n, "x " + ("aB3xY7" * n)[:n] + " y", None, "s", 0) for n in (23, 24, 200, 201, 5000)] + [(0, "x " + "aB" * 300 + "9", None, "s", 0), (1, "gz" * 300 + "9", None, "s", 0)]
+    got = {r.doc_id: r.spans for r in secrets.secret_digests(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {23: "", 24: "mixed:2:26", 200: "mixed:2:202", 201: "mixed:2:203", 5000: "mixed:2:5002", 0: "mixed:2:603", 1: ""}
+
+
 def test_rules(spark, docs, rows):
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in rules.rule_digests(docs, labels).collect()}

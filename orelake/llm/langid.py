@@ -20,6 +20,7 @@ learned; ties go to the language that sorts first; a null doc_id counts as held
 from __future__ import annotations
 
 import bisect
+import hashlib
 import itertools
 import math
 import re
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from .util import arrow_map, crc_bucket, only
 
 PENALTY, WORDS_KEPT, BATCH_WORDS, BATCH_DOCS = 6.0, 300_000, 1_000_000, 4096
+#: Words scored at once.
+SCORED = 16_384
 
 #: First code points of ranges of scripts.
 SCRIPTS = [(0x0, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, "Gurmukhi"), (0xA80, "Gujarati"), (0xB00, "Oriya"), (0xB80, "Tamil"), (0xC00, "Telugu"), (0xC80, "Kannada"), (0xD00, "Malayalam"), (0xD80, "Sinhala"), (0xE00, "Thai"), (0xE80, "Lao"), (0xF00, "Tibetan"), (0x1000, "Myanmar"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2C00, "Other"), (0x3040, "Kana"), (0x3100, "Han"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0xFF21, "Latin"), (0xFF66, "Kana"), (0xFFA0, "Hangul"), (0xFFE0, "Other"), (0x20000, "Han"), (0x32000, "Other")]
@@ -73,66 +76,98 @@ class Model:
         for gram, v in table.items():
             k = len(gram)
             table[gram] = np.log((v + 0.2) / (totals[k] + 0.2 * kinds[k])).astype(np.float32)
-        self.table = table
-        self.unseen = {k: np.log(0.2 / (totals[k] + 0.2 * max(1, kinds[k]))).astype(np.float32) for k in (1, 2, 3)}
+        self.rows = _Rows(zip(table, range(len(table))))
+        unseen = [np.log(0.2 / (totals[k] + 0.2 * max(1, kinds[k]))).astype(np.float32) for k in (1, 2, 3)]
+        self.matrix = np.array([*table.values(), *unseen], np.float32).reshape(-1, n)
+        self.rows.seen = len(table)
         own = sum(scripts.values(), np.zeros(n))
         writes = {s: (v > 0) & (v >= 0.01 * own) for s, v in scripts.items()}
         self.out = {s: np.where(v, 0, -1e4).astype(np.float32) for s, v in writes.items() if v.any()}
-
-    def word(self, w: str) -> tuple[np.ndarray, int]:
-        """Scores by language, and the number of letters."""
-        letters = sum(map(str.isalpha, w))
-        if not letters:
-            return np.zeros(len(self.langs), np.float32), 0
-        g = grams(w)
-        s = np.zeros(len(self.langs), np.float32)
-        for x in g:
-            v = self.table.get(x)
-            s += self.unseen[len(x)] if v is None else v
-        s *= min(len(w), 12) / len(g)
-        s -= s.max()
-        return np.maximum(s, -12) + self.out.get(script(w[0]), 0), letters
+        self.key = hashlib.sha256(repr((self.langs, sorted(counts))).encode("utf-8", "surrogatepass")).hexdigest()
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores by language, and the number of letters, of many words of one script each: one gather and one sum."""
+        n, size = len(self.langs), np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.fromiter((len(w) if w.isalpha() else sum(map(str.isalpha, w)) for w in words), np.int64, len(words))
+        scores = np.zeros((len(words), n), np.float32)
+        for at in range(0, len(words) if n else 0, SCORED):
+            part = slice(at, at + SCORED)
+            flat = [*itertools.chain.from_iterable(map(grams, words[part]))]
+            many = 3 * size[part] + 1
+            s = np.add.reduceat(self.matrix[np.fromiter(map(self.rows.__getitem__, flat), np.int64, len(flat))], np.r_[0, np.cumsum(many)[:-1]])
+            s *= (np.minimum(size[part], 12) / many).astype(np.float32)[:, None]
+            s -= s.max(1, keepdims=True)
+            scores[part] = np.maximum(s, -12)
+        for i, name in enumerate(map(script, (w[0] for w in words))):
+            if name in self.out:
+                scores[i] += self.out[name]
+        scores[letters == 0] = 0
+        return scores, letters
+
+
+class _Rows(dict):
+    """The model's row of each gram; a gram that was never seen has the row of its length after them."""
+
+    seen = 0
+
+    def __missing__(self, gram: str) -> int:
+        return self.seen + len(gram) - 1
+
+
+class _Ids(dict):
+    """Numbers of words as they are met: from 0 on for words of one script, -1, -2, ... for words of several."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+        self.next = 0
+        self.parts: list[list[int]] = []
+
+    def __missing__(self, w: str) -> int:
+        several = pieces(w)
+        if len(several) > 1:
+            self.parts.append([self[p] for p in several])
+            i = -len(self.parts)
+        else:
+            i = self.next
+            self.next += 1
+            self.new.append(w)
+        self[w] = i
+        return i
 
 
 class Labeller:
     """Labels batches of texts; remembers the scores of words."""
 
     def __init__(self, model: Model):
-        self.m, self.ids = model, {}
-        self.parts: list[list[int]] = []  # of words of several scripts, whose ids are -1, -2, ...
-        self.scores = np.zeros((1024, len(model.langs)), np.float32)
+        self.m = model
+        self._forget()
+
+    def _forget(self) -> None:
+        self.ids = _Ids()
+        self.scores = np.zeros((1024, len(self.m.langs)), np.float32)
         self.letters = np.zeros(1024, np.int64)
 
-    def _id(self, w: str) -> int:
-        i = self.ids.get(w)
-        if i is None:
-            several = pieces(w)
-            if len(several) > 1:
-                self.parts.append([self._id(p) for p in several])
-                i = self.ids[w] = -len(self.parts)
-                return i
-            i = self.ids[w] = len(self.ids)
-            if i >= len(self.letters):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.letters = np.concatenate([self.letters, np.zeros_like(self.letters)])
-            self.scores[i], self.letters[i] = self.m.word(w)
-        return i
+    def _score_new(self) -> None:
+        new, self.ids.new = self.ids.new, []
+        if new:
+            n, have = self.ids.next, len(self.letters)
+            if n > have:
+                self.scores = np.concatenate([self.scores, np.zeros((max(have, n - have), self.scores.shape[1]), np.float32)])
+                self.letters = np.concatenate([self.letters, np.zeros(max(have, n - have), np.int64)])
+            self.scores[n - len(new) : n], self.letters[n - len(new) : n] = self.m.words(new)
 
     def paths(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text the languages of its words and their letters."""
         if len(self.ids) > WORDS_KEPT:
-            self.ids.clear()
-            self.parts.clear()
-        get, own = self.ids.get, self._id
+            self._forget()
+        number, parts = self.ids.__getitem__, self.ids.parts
         rows = []
         for t in texts:
-            ws = _word.findall(t.lower()) if t else []
-            got = [*map(get, ws)]
-            if None in got:
-                got = [own(w) if i is None else i for w, i in zip(ws, got)]
-            if self.parts and got and min(got) < 0:
-                got = [x for i in got for x in ((i,) if i >= 0 else self.parts[-1 - i])]
+            got = [*map(number, _word.findall(t.lower()))] if t else []
+            if parts and got and min(got) < 0:
+                got = [x for i in got for x in ((i,) if i >= 0 else parts[-1 - i])]
             rows.append(np.array(got, np.int64))
+        self._score_new()
         order = sorted(range(len(texts)), key=lambda i: -len(rows[i]))
         sizes = np.array([len(rows[i]) for i in order], np.int64)
         flat = np.concatenate([rows[i] for i in order]) if order else np.zeros(0, np.int64)
@@ -185,6 +220,17 @@ class Labeller:
             yield self.m.langs[best], float(by[best] / total), spans
 
 
+_labellers: dict[str, Labeller] = {}
+
+
+def _labeller(model: Model) -> Labeller:
+    """The worker process keeps the labeller of its last model, so that words scored in one task serve the next."""
+    if model.key not in _labellers:
+        _labellers.clear()
+        _labellers[model.key] = Labeller(model)
+    return _labellers[model.key]
+
+
 def learn(docs: DataFrame, sample_docs: int = 1500, max_grams: int = 150_000) -> Model:
     """``max_grams`` is for each language, so that much text of one takes no grams from another."""
     known = only(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_bucket("doc_id") != 0))
@@ -219,7 +265,7 @@ def predict(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        labeller = Labeller(shared.value)
+        labeller = _labeller(shared.value)
         ids, texts, n = [], [], 0
 
         def flush() -> Iterator[tuple]:

@@ -396,3 +396,29 @@ def test_sql(spark, name):
 
     sf = "/root/testdata/sf0.001"
     assert differences(spark, connect(sf), queries.QUERIES[name], queries.ORACLE_SQL[name], sf) == ""
+
+
+def test_language_ties_repeats_and_long_runs(spark):
+    model = langid.Model([("aa", "/Latin", 10), ("bb", "/Latin", 10), ("aa", "x", 5), ("bb", "x", 5)])
+    rows = [(1, "x xx x"), (1, "x xx x"), (1, "x xx x"), (2, "x" * 100_000), (3, None), (4, "x" * 40 + " ²" + "x" * 41), (None, "x")]
+    got = langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model, True).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred, r.score) for r in got) == [(0, "aa", 1.0), *[(1, "aa", 1.0)] * 3, (2, "aa", 1.0), (3, "und", 0.0), (4, "aa", 1.0)]
+    assert {r.doc_id: sum(s.words for s in r.spans) for r in got if r.doc_id in (2, 4)} == {2: 2500, 4: 3}
+
+
+def test_language_words_scored_together_or_alone():
+    import numpy as np
+
+    r = random.Random(8)
+    counts = [(lang, "".join(r.choice("abcxyz") for _ in range(k)), r.randrange(1, 50)) for lang in ("a", "b", "c") for k in (1, 2, 3) for _ in range(30)]
+    model = langid.Model([*counts, ("a", "/Latin", 9), ("b", "/Latin", 9), ("c", "/Greek", 9)])
+    words = ["".join(r.choice("abcdxyz") for _ in range(r.randrange(1, 41))) for _ in range(300)] + ["²", "a²"]
+    table = {g: model.matrix[i] for g, i in model.rows.items()}
+    together, letters = model.words(words)
+    for w, s, n in zip(words, together, letters):
+        alone = np.zeros(3)
+        for g in langid.grams(w):
+            alone = alone + table.get(g, model.matrix[len(table) + len(g) - 1])
+        alone *= min(len(w), 12) / len(langid.grams(w))
+        alone = np.maximum(alone - alone.max(), -12) + model.out[langid.script(w[0])] if n else np.zeros(3)
+        assert n == sum(map(str.isalpha, w)) and np.allclose(s, alone, atol=1e-4) and (model.words([w])[0][0] == s).all()

@@ -11,7 +11,8 @@ as far as ``reach(m)``:
 All of these have lower ranks, so one pass over the list in rank order gives every reach; the largest is the merge
 list's *sufficient lookahead*. A gap with that many symbols known to its right has its final state, and since the two
 sides of an open gap never meet, tokens before it can be emitted and forgotten. The transducer so holds a bounded
-buffer of any word, however long, and texts pass through it in blocks.
+buffer of any word, however long. Texts pass through it in blocks, and a word that spans blocks stays open between
+them, so a text without any space is encoded in the same memory. Only a run of combining marks is normalised whole.
 
 Decoding is a state machine over token bytes: it holds an unfinished UTF-8 sequence of at most three bytes.
 
@@ -39,31 +40,108 @@ from .util import arrow_map, only
 #: Characters of a text taken at a time, and words whose tokens a task remembers.
 BLOCK, WORDS_KEPT = 1 << 16, 400_000
 
-
-#: The split pattern of the vocabulary file, 's|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+, is built below
-#: from the categories of unicodedata; ``regex`` knows later letters than the library does.
-@lru_cache(maxsize=1)
-def _any() -> re.Pattern:
-    kinds = {"L": [], "N": []}
-    for kind, spans in kinds.items():
-        start = None
-        for c in range(0x110001):
-            hit = c < 0x110000 and unicodedata.category(chr(c))[0] == kind
-            if hit and start is None:
-                start = c
-            elif not hit and start is not None:
-                spans.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-                start = None
-    letter, number = "".join(kinds["L"]), "".join(kinds["N"])
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^{_WHITE}{letter}{number}]+")
-
-
-_LETTER = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_latin = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^ \t-\r\x85\xa0{_LETTER}0-9\xb2\xb3\xb9\xbc-\xbe]+")
-_is_latin = re.compile(r"[\x00-\xff]*").fullmatch
-#: The code points of Unicode's White_Space.
+#: The contractions of the vocabulary file's split pattern, and the code points of Unicode's White_Space.
+CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _space = re.compile(f"[{_WHITE}]+")
+#: No letter or number lies beyond the planes 0 to 3.
+LAST = 0x40000
+
+
+def _spans(points: Iterable[int]) -> str:
+    """Sorted code points as ranges of a character class."""
+    out: list[list[int]] = []
+    for c in points:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+@lru_cache(maxsize=1)
+def classes() -> tuple[str, str, str]:
+    """Character classes: the letters and numbers of the library's own tables, and what ``unicodedata`` doesn't know.
+
+    The library's tables are of a later Unicode than Python's, so they are asked, once, on the driver.
+    """
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    points = [c for c in range(LAST) if not 0xD800 <= c < 0xE000]
+    every = "".join(map(chr, points))
+    found = [Split(Regex(rf"\p{{{k}}}+"), "removed", invert=True).pre_tokenize_str(every) for k in "LN"]
+    letters, numbers = (_spans(c for _, (a, b) in spans for c in points[a:b]) for spans in found)
+    return letters, numbers, _spans(c for c in points if unicodedata.category(chr(c)) == "Cn")
+
+
+class Lexer:
+    """The vocabulary file's normalisation and split pattern: contractions, runs of letters, numbers one by one, runs of
+    anything else but white space. Runs that a block's end cuts are told apart from finished ones."""
+
+    def __init__(self, known: tuple[str, str, str] | None = None):
+        letter, number, unknown = known or classes()
+        either = "|".join(CONTRACTIONS)
+        self.words = re.compile(rf"{either}|[{letter}]+|[{number}]|[^{_WHITE}{letter}{number}]+")
+        latin = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+        self.latin_words = re.compile(rf"{either}|[{latin[0]}]+|[{latin[1]}]|[^ \t-\r\x85\xa0{latin[0]}{latin[1]}]+")
+        self.latin = re.compile(r"[\x00-\xff]*").fullmatch
+        self.unknown = re.compile(f"[{unknown}]").search
+        self.runs = [re.compile(f"[{letter}]+"), re.compile(f"[^{_WHITE}{letter}{number}]+")]
+
+    def normal(self, text: str) -> str:
+        """NFC, runs of white space to one space, lower case code point by code point (so without a final sigma)."""
+        if text.isascii():
+            return text.lower()
+        if self.unknown(text):
+            from tokenizers import normalizers
+
+            return _space.sub(" ", normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text))
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        return _space.sub(" ", text.replace("Σ", "σ").lower())
+
+    def split(self, normal: str) -> list[str]:
+        return (self.latin_words if self.latin(normal) else self.words).findall(normal)
+
+    def settled(self, normal: str) -> tuple[list[str], str, str, re.Pattern | None]:
+        """Of a block that isn't the last: finished words, an open run at its end with its pattern, and what is read
+        again with the next block since it may yet become a contraction: at most two characters."""
+        words = self.split(normal)
+        if words and normal.endswith(last := words[-1]):
+            if last == "'":
+                return words[:-1], "", last, None
+            if last in ("r", "v", "l") and words[-2:-1] == ["'"] and normal.endswith("'" + last):
+                return words[:-2], "", "'" + last, None
+            for run in self.runs if last not in CONTRACTIONS else ():
+                if run.match(last):
+                    return words[:-1], last, "", run
+        return words, "", "", None
+
+    def edge(self, text: str, at: int) -> int:
+        """Where the block from ``at`` ends: before a character that composes with none before it."""
+        near = at + BLOCK
+        if near >= len(text):
+            return len(text)
+        for p in range(near, at + BLOCK // 2, -1):
+            if _starts(text[p]):
+                return p
+        # Marks without end: normalisation has to see them whole.
+        return next((p for p in range(near, len(text)) if _starts(text[p])), len(text))
+
+
+@lru_cache(maxsize=1)
+def _seconds() -> frozenset[str]:
+    """Characters that some composition ends with."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(LAST))
+    return frozenset({chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"} | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))})
+
+
+def _starts(c: str) -> bool:
+    if c.isascii():
+        return True
+    first = unicodedata.normalize("NFD", c)[0]
+    return unicodedata.category(c) != "Cn" and not unicodedata.combining(first) and first not in _seconds()
 
 
 def byte_symbols() -> list[str]:
@@ -82,6 +160,7 @@ class Merges:
         self.rank = {(a, b): r for r, (a, b) in reversed(list(enumerate(merges)))}
         self.symbols = byte_symbols()
         self._names: list[bytes] | None = None
+        self._raw: list[bytes] | None = None
         self.lookahead = self._lookahead(merges)
 
     def names(self) -> list[bytes]:
@@ -92,6 +171,16 @@ class Merges:
                 self._names[i] = t.encode()
         return self._names
 
+    def raw(self) -> list[bytes]:
+        """The bytes that each token stands for, by id."""
+        if self._raw is None:
+            byte = {c: b for b, c in enumerate(self.symbols)}
+            self._raw = [b""] * len(self.names())
+            for i, t in self.tokens.items():
+                end = bool(self.end) and t.endswith(self.end)
+                self._raw[i] = bytes(byte[c] for c in (t.removesuffix(self.end) if end else t)) + b" " * end
+        return self._raw
+
     def _length(self, s: str) -> int:
         return len(s.removesuffix(self.end)) or 1
 
@@ -183,10 +272,13 @@ class WordStream:
 
 
 class Encoder:
-    """A text's token ids, in blocks. ``feed`` gives packed little-endian unsigned 32-bit ids as they become stable."""
+    """A text's token ids, packed as little-endian unsigned 32-bit numbers, as they become stable.
+
+    Every word goes through a ``WordStream``; the memo holds what came out of it for words seen before.
+    """
 
-    def __init__(self, merges: Merges, kept: int = WORDS_KEPT):
-        self.m, self.kept = merges, kept
+    def __init__(self, merges: Merges, known: tuple[str, str, str] | None = None, kept: int = WORDS_KEPT):
+        self.m, self.kept, self.lexer = merges, kept, Lexer(known)
         self.words: dict[str, bytes] = _Memo(self)
 
     def ids(self, tokens: Iterable[str]) -> bytes:
@@ -194,43 +286,37 @@ class Encoder:
         return struct.pack(f"<{len(got)}I", *got)
 
     def word(self, w: str) -> bytes:
-        data = w.encode()
-        if len(data) > 4 * self.m.lookahead:
-            s = WordStream(self.m)
-            return self.ids(s.feed(data)) + self.ids(s.finish())
-        parts = [self.m.symbols[b] for b in data]
-        parts[-1] += self.m.end
-        return self.ids(self.m.apply(parts))
-
-    @staticmethod
-    def normal(text: str) -> str:
-        """NFC, runs of white space to one space, lower case code point by code point (so without a final sigma)."""
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return _space.sub(" ", text.replace("Σ", "σ").lower()) if not text.isascii() else text.lower()
+        s = WordStream(self.m)
+        return self.ids(s.feed(w.encode())) + self.ids(s.finish())
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        return (_latin if _is_latin(text) else _any()).findall(text)
+    def block(self, words: list[str]) -> bytes:
+        if len(self.words) > self.kept:
+            self.words.clear()
+        return b"".join(map(self.words.__getitem__, words))
 
     def text(self, text: str) -> Iterator[bytes]:
-        """Blocks end at white space, which no word spans and nothing composes with; the part after it is carried."""
-        at, n = 0, len(text)
-        while at < n:
-            end = min(n, at + BLOCK)
-            if end < n:
-                stop = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-                if stop <= at:
-                    found = re.compile(r"[ \n]").search(text, end)
-                    stop = found.start() if found else n
-                end = stop
-            yield from self.block(text[at:end])
+        """Block by block; a word that a block's end cuts stays open, and only its few undecided symbols are held."""
+        at, again, stream, run = 0, "", None, None
+        while at < len(text) or again or stream:
+            end = self.lexer.edge(text, at)
+            part, again = again + self.lexer.normal(text[at:end]), ""
             at = end
-
-    def block(self, text: str) -> Iterator[bytes]:
-        if len(self.words) > self.kept:
-            self.words.clear()
-        yield b"".join(map(self.words.__getitem__, self.split(self.normal(text))))
+            if stream:
+                more = run.match(part)
+                more = more.end() if more else 0
+                yield self.ids(stream.feed(part[:more].encode()))
+                if more == len(part) and at < len(text):
+                    continue
+                yield self.ids(stream.finish())
+                stream, part = None, part[more:]
+            if at >= len(text):
+                yield self.block(self.lexer.split(part))
+                continue
+            words, open_, again, run = self.lexer.settled(part)
+            yield self.block(words)
+            if open_:
+                stream = WordStream(self.m)
+                yield self.ids(stream.feed(open_.encode()))
 
 
 class _Memo(dict):
@@ -246,32 +332,29 @@ class _Memo(dict):
 
 
 class Decoder:
-    """Token ids back to text. Without a decoder in the vocabulary file tokens are joined by spaces (``mode='tokens'``);
-    ``mode='text'`` maps stand-ins to bytes, word ends to spaces, and holds an unfinished UTF-8 sequence."""
+    """Token ids back to text: a machine over the tokens' bytes that holds an unfinished UTF-8 sequence.
+
+    ``mode='tokens'`` is what a vocabulary file without a decoder asks for: the bytes of the tokens' own strings with
+    spaces between them. ``mode='text'`` maps stand-ins to the bytes they stand for and word ends to spaces.
+    """
 
     def __init__(self, merges: Merges, mode: str = "tokens"):
-        self.m, self.mode, self.first = merges, mode, True
-        self.byte = {c: b for b, c in enumerate(merges.symbols)}
+        self.gap = b" " if mode == "tokens" else b""
+        self.bytes = merges.names() if mode == "tokens" else merges.raw()
+        self.began = False
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, packed: bytes) -> bytes:
-        ids = struct.unpack(f"<{len(packed) // 4}I", packed)
-        if self.mode == "tokens":
-            out = b" ".join(map(self.m.names().__getitem__, ids))
-            if out and not self.first:
-                out = b" " + out
-            self.first = self.first and not ids
-            return out
-        raw = bytearray()
-        for i in ids:
-            t = self.m.tokens[i]
-            raw += bytes(self.byte[c] for c in t.removesuffix(self.m.end))
-            if t.endswith(self.m.end):
-                raw += b" "
-        return self.utf8.decode(bytes(raw)).encode()
-
-    def finish(self) -> bytes:
-        return self.utf8.decode(b"", True).encode() if self.mode == "text" else b""
+    def feed(self, packed: bytes) -> str:
+        if not packed:
+            return ""
+        out = self.gap.join(map(self.bytes.__getitem__, struct.unpack(f"<{len(packed) // 4}I", packed)))
+        if self.began:
+            out = self.gap + out
+        self.began = True
+        return self.utf8.decode(out)
+
+    def finish(self) -> str:
+        return self.utf8.decode(b"", True)
 
 
 @lru_cache(maxsize=2)
@@ -311,9 +394,11 @@ def encode(encoder: Encoder, text: str) -> Iterator[bytes]:
 def bpe_digests(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encodes and decodes every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids with ``with_ids``)."""
 
+    known = classes()
+
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         m = load(vocabulary)
-        encoder = Encoder(m)
+        encoder = Encoder(m, known)
         for doc_id, text in it:
             decoder, n = Decoder(m), 0
             ids, plain = hashlib.sha256(), hashlib.sha256()
@@ -321,10 +406,10 @@ def bpe_digests(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col:
             for packed in encode(encoder, text or ""):
                 n += len(packed) // 4
                 ids.update(packed)
-                plain.update(decoder.feed(packed))
+                plain.update(decoder.feed(packed).encode())
                 if with_ids:
                     kept.append(packed)
-            plain.update(decoder.finish())
+            plain.update(decoder.finish().encode())
             row = (doc_id, n, ids.hexdigest(), plain.hexdigest())
             yield (*row, list(struct.unpack(f"<{n}I", b"".join(kept)))) if with_ids else row
 

@@ -80,7 +80,58 @@ def test_bpe_stream_is_stable():
     d = bpe.Decoder(m, "text")
     e = bpe.Encoder(m)
     packed = b"".join(e.text("größe 日本 x"))
-    assert b"".join(d.feed(packed[i : i + 4]) for i in range(0, len(packed), 4)).decode() + d.finish().decode() == "größe 日本 x "
+    assert "".join(d.feed(packed[i : i + 4]) for i in range(0, len(packed), 4)) + d.finish() == "größe 日本 x "
+
+
+def library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lib.no_truncation(), lib.no_padding()
+    return lib
+
+
+def our_ids(encoder, text):
+    packed = b"".join(bpe.encode(encoder, text))
+    return list(struct.unpack(f"<{len(packed) // 4}I", packed))
+
+
+def test_bpe_every_code_point():
+    lib, e = library(), bpe.Encoder(bpe.load("word_bpe_49k.json"))
+    points = [c for c in (*range(0x34000), *range(0xE0000, 0xE0200)) if not 0xD800 <= c < 0xE000]
+    lines = ["".join(f"a{chr(c)}b1 " for c in points[at : at + 64]) for at in range(0, len(points), 64)]
+    for line, want in zip(lines, lib.encode_batch(lines, add_special_tokens=False)):
+        assert our_ids(e, line) == want.ids
+
+
+def test_bpe_block_edges(monkeypatch):
+    lib, e = library(), bpe.Encoder(bpe.load("word_bpe_49k.json"))
+    r = random.Random(9)
+    pieces = ["'", "''", "'s", "'r", "e", "'ll", "l", "v", "we", "日本", "é", "e\u0301", "\u0301\u0327", "가", "\u1161", "か", "\u3099", "!", "!'", "7", " ", "\n", "\t", "\x85", "Σ", "<|endoftext|>", "\U000105d2\u0307", "\u1c89", "x" * 30, "\u0f73", "\u0344"]
+    for size in (4, 7, 64):
+        monkeypatch.setattr(bpe, "BLOCK", size)
+        for _ in range(300):
+            t = "".join(r.choice(pieces) for _ in range(r.randrange(1, 60)))
+            assert our_ids(e, t) == lib.encode(t, add_special_tokens=False).ids, t
+
+
+def test_bpe_long_text_without_spaces_in_bounded_memory():
+    import tracemalloc
+
+    e = bpe.Encoder(bpe.load("word_bpe_49k.json"))
+    r = random.Random(10)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "日本語中文字"):
+        t = "".join(r.choices(alphabet, k=60_000))
+        assert our_ids(e, t) == library().encode(t, add_special_tokens=False).ids
+    t = "thein" * 160_000
+    for _ in e.text(t[:200_000]):
+        pass
+    tracemalloc.start()
+    n = sum(len(x) for x in e.text(t))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 0 and peak < 4_000_000
 
 
 def test_lines(docs, rows):

@@ -31,7 +31,7 @@ import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 from pyspark.sql import DataFrame
 
@@ -86,14 +86,15 @@ class Lexer:
         latin = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
         self.latin_words = re.compile(rf"{either}|[{latin[0]}]+|[{latin[1]}]|[^ \t-\r\x85\xa0{latin[0]}{latin[1]}]+")
         self.latin = re.compile(r"[\x00-\xff]*").fullmatch
-        self.unknown = re.compile(f"[{unknown}]").search
+        self.unknown = re.compile(f"[{unknown}]").match
+        self.met: set[str] = set()  # characters that unicodedata knows
         self.runs = [re.compile(f"[{letter}]+"), re.compile(f"[^{_WHITE}{letter}{number}]+")]
 
     def normal(self, text: str) -> str:
         """NFC, runs of white space to one space, lower case code point by code point (so without a final sigma)."""
         if text.isascii():
             return text.lower()
-        if self.unknown(text):
+        if not self.met.issuperset(text) and not self._known(text):
             from tokenizers import normalizers
 
             return _space.sub(" ", normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str(text))
@@ -101,6 +102,12 @@ class Lexer:
             text = unicodedata.normalize("NFC", text)
         return _space.sub(" ", text.replace("Σ", "σ").lower())
 
+    def _known(self, text: str) -> bool:
+        new = set(text) - self.met
+        odd = {c for c in new if self.unknown(c)}
+        self.met |= new - odd
+        return not odd
+
     def split(self, normal: str) -> list[str]:
         return (self.latin_words if self.latin(normal) else self.words).findall(normal)
 
@@ -282,12 +289,12 @@ class Encoder:
         self.words: dict[str, bytes] = _Memo(self)
 
     def ids(self, tokens: Iterable[str]) -> bytes:
-        got = [i for t in tokens if (i := self.m.vocab.get(t)) is not None]
+        got = [i for i in map(self.m.vocab.get, tokens) if i is not None]
         return struct.pack(f"<{len(got)}I", *got)
 
     def word(self, w: str) -> bytes:
         s = WordStream(self.m)
-        return self.ids(s.feed(w.encode())) + self.ids(s.finish())
+        return self.ids(chain(s.feed(w.encode()), s.finish()))
 
     def block(self, words: list[str]) -> bytes:
         if len(self.words) > self.kept:
@@ -375,6 +382,12 @@ def load(path: str) -> Merges:
     return m
 
 
+@lru_cache(maxsize=1)
+def _encoder(vocabulary: str, known: tuple[str, str, str]) -> Encoder:
+    """The worker process keeps its encoder, so that words met in one task serve the next."""
+    return Encoder(load(vocabulary), known)
+
+
 def _specials(merges: Merges) -> re.Pattern | None:
     return re.compile("|".join(map(re.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
 
@@ -397,8 +410,8 @@ def bpe_digests(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col:
     known = classes()
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        m = load(vocabulary)
-        encoder = Encoder(m, known)
+        encoder = _encoder(vocabulary, known)
+        m = encoder.m
         for doc_id, text in it:
             decoder, n = Decoder(m), 0
             ids, plain = hashlib.sha256(), hashlib.sha256()

@@ -409,6 +409,77 @@ def test_html_template_within_article_and_main(spark):
     assert got == {i: f"Head {i}\nPart {i}.0\nPart {i}.1\nin {i}" for i in range(24)}
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def shop(i, lines=3):
+    body = "".join(f"<p>Line {i}.{k}</p>" for k in range(lines))
+    extra = "<section><p>Once</p></section>" if i % 3 == 0 else ""
+    return f"<body><div class='x{i}'><article>{extra}<h2>Head {i}</h2><p>Read our terms</p>{body}<ul><li>Buy now</li><li>item {i}</li></ul></article></div></body>"
+
+
+def pages_of_hosts(n=13):
+    rows = [(i, f"http://{h}.example.com/{i}", shop(i if h != "copies" else i % 3)) for h in ("a", "copies") for i in range(n)]
+    return [*rows, *rows[:5], (None, "http://a.example.com/x", shop(77)), (99, None, None), (100, "http://two.example.com/", shop(1)), (101, "http://two.example.com/", shop(2))]
+
+
+def test_html_is_the_same_for_any_partitioning(spark, monkeypatch):
+    rows = pages_of_hosts()
+    got = []
+    for n in (1, 4, 16):
+        d = spark.createDataFrame(rows, PAGES).select("*", F.lit(1).alias("host"), F.lit(2).alias("d"), F.lit("x").alias("wrapper"), F.lit("y").alias("text"), F.lit(0).alias("a.b")).repartition(n)
+        got.append(sorted(map(tuple, html_wrapper.page_digests(d).collect()), key=repr))
+    monkeypatch.setattr(html_wrapper, "BROADCAST_BYTES", -1)  # the shuffled side of every join
+    got.append(sorted(map(tuple, html_wrapper.page_digests(spark.createDataFrame(rows, PAGES).repartition(5)).collect()), key=repr))
+    assert all(g == got[0] for g in got) and len(got[0]) == len(rows)
+    text = {(u, i): t for i, u, t, _ in got[0]}
+    # Within the article the wrapper decides: what all pages of the host repeat is template, also between siblings.
+    assert text["http://a.example.com/1", 1] == "Head 1\nLine 1.0\nLine 1.1\nLine 1.2\nitem 1"
+    assert text["http://a.example.com/3", 3].startswith("Once\nHead 3")
+    # Three different pages, however often copied, are too few for a template; so are two.
+    assert "Read our terms" in text["http://copies.example.com/4", 4] and "Buy now" in text["http://two.example.com/", 100]
+    assert text[None, 99] == ""
+
+
+def brute_matching(a, b):
+    """Simple tree matching by the plain recursion over all prefixes."""
+    if a.key != b.key:
+        return 0
+    x, y = list(a.kids.values()), list(b.kids.values())
+    m = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, p in enumerate(x):
+        for j, q in enumerate(y):
+            m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + brute_matching(p, q))
+    return 1 + m[-1][-1]
+
+
+def test_tree_matching_equals_the_plain_recursion():
+    r = random.Random(12)
+
+    def tree(depth):
+        s = html_wrapper.Slot("x")
+        for k in r.sample("abcdef", r.randrange(0, 6)) if depth else ():
+            s.kids[k] = tree(depth - 1)
+            s.kids[k].key = k
+        return s
+
+    for _ in range(300):
+        a, b = tree(3), tree(3)
+        assert html_wrapper.weight(a, b, {}) == brute_matching(a, b)
+        w, n = html_wrapper.load(html_wrapper.dump(a))
+        assert html_wrapper.weight(w, a, {}) == html_wrapper.weight(a, a, {}) and n == 0
+
+
+def test_html_deep_and_long_pages():
+    deep = "<div>" * 20_000 + "core" + "</div>" * 20_000
+    assert html_wrapper.extract(f"<body><article>{deep}</article></body>") == "core"
+    long = "<article>" + "".join(f"<p>w{i}</p>" for i in range(50_000)) + "</article>"
+    pages = [long.replace("w7<", f"z{k}<") for k in range(5)] + [deep]
+    w, n = html_wrapper.load(html_wrapper.dump(html_wrapper.induced(pages)))
+    assert n > 0 and html_wrapper.extract(long).count("\n") == 49_999
+    assert len(set(html_wrapper.seen(w, html_wrapper.fold(html_wrapper.parse(long))))) == n
+
+
 def test_empty_tables_and_extra_columns(spark, docs, tmp_path):
     extra = lambda d: d.select("*", *[F.lit(1).alias(c) for c in ("digest", "node", "h", "keys", "count", "q_kept2", "component", "key")])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int, text string")

@@ -9,10 +9,14 @@ probability (1 - (1 - s**ROWS)**TABLES)**2, at 0.85 above 0.998 for 4 rows and 1
 2. Rows of one set are one class, so exact copies never meet as pairs. Its node is the smallest doc_id.
 3. Each table key's smallest node is linked with the others of that key: a star, not all pairs. The components of
    these candidate links part the classes, so that every candidate pair lies within one component.
-4. The sets of components of two or more classes are read again and verified in full: a component is dealt into blocks
-   of bounded size, and each pair of blocks is one group. In it, a prefix index ordered by rarity finds the pairs that
-   can reach the threshold, pairs already joined are passed over, and the links that join something leave the group.
-5. The components of the verified links are the result; those of a component of one block are found in its group.
+4. The sets of components of two or more classes are read again and verified in full. A component is dealt into blocks
+   of bounded size, each solved alone: a prefix index ordered by rarity finds the pairs that can reach the threshold,
+   texts already joined are passed over. The smallest text of each joined group then stands for it in the next round,
+   dealt anew, until a component fits in one block or a round joins nothing. So near copies cost their number, not the
+   square of it, and no set is copied.
+5. What is left are texts whose groups no round joined. All but the largest group of such a component meet every block
+   of it, so that no pair of different groups stays unverified. Only these leftovers are copied, once for each block.
+6. The components of the verified links are the result.
 
 Defined cases: a null or empty text, or one without words, has the empty set and is linked with nothing; a text of
 fewer words than a shingle has the whole sequence as its one shingle. Rows that share a doc_id are one document: their
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import BROADCAST_BYTES, arrow_map, components, cut, only
+from .util import BROADCAST_BYTES, arrow_map, components, cut, free_name, only
 
 ROWS, TABLES = 4, 10
 #: Shingles in a block of a component, and words whose hashes a task remembers.
@@ -109,13 +113,14 @@ def sketch(docs: DataFrame, size: int, rows: int, tables: int, id_col: str, text
     return arrow_map(only(docs, id_col, text_col), run, "id long, n_shingles long, digest binary, halves array<long>")
 
 
-def links(members: list[tuple[int, int, np.ndarray]], threshold: int, same: bool = True) -> list[tuple[int, int]]:
-    """members: (node, side, sorted hashes). Spanning links among pairs of at least ``threshold`` percent.
+def links(members: list[tuple[int, int, np.ndarray]], threshold: int) -> list[tuple[int, int]]:
+    """members: (node, group, sorted hashes). Spanning links among pairs of at least ``threshold`` percent.
 
-    ``same``: both sides are one block; else only pairs of different sides are looked at. A pair of at least t needs a
-    common hash among each set's first n - ceil(t * n) + 1 in any one order of hashes; rarest first here.
+    Members of one group are joined already. A pair of at least t needs a common hash among each set's first
+    n - ceil(t * n) + 1 in any one order of hashes; rarest first here. The index has a hash's members by joined group,
+    so a group that a member belongs to is passed over at once, however large.
     """
-    members = sorted(members, key=lambda m: len(m[2]))
+    members = sorted(members, key=lambda m: (len(m[2]), m[0]))
     if len(members) < 2:
         return []
     flat = np.concatenate([m[2] for m in members])
@@ -124,9 +129,12 @@ def links(members: list[tuple[int, int, np.ndarray]], threshold: int, same: bool
     order[np.lexsort((uniq, count))] = np.arange(len(uniq))
     rank = order[inverse]
     first_common = int((count == 1).sum())
-    index: dict[int, list[int]] = {}
-    sets: list[frozenset | None] = []
+    index: dict[int, dict[int, list[int]]] = {}
+    sets: list[frozenset] = []
     up = list(range(len(members)))
+    first: dict[int, int] = {}
+    for i, (_, group, _) in enumerate(members):
+        up[i] = first.setdefault(group, i)
 
     def find(i: int) -> int:
         while up[i] != i:
@@ -135,7 +143,7 @@ def links(members: list[tuple[int, int, np.ndarray]], threshold: int, same: bool
         return i
 
     out, at = [], 0
-    for i, (node, side, x) in enumerate(members):
+    for i, (node, _, x) in enumerate(members):
         n = len(x)
         own = np.sort(rank[at : at + n])
         at += n
@@ -146,22 +154,25 @@ def links(members: list[tuple[int, int, np.ndarray]], threshold: int, same: bool
         sets.append(mine)
         tried = set()
         for token in prefix:
-            for j in reversed(index.get(token, ())):
-                m = len(members[j][2])
-                if 100 * m < threshold * n:
-                    break  # the index is in order of size
-                if j in tried:
+            for root, held in index.get(token, {}).items():
+                if find(root) == find(i):
                     continue
-                tried.add(j)
-                if (not same and members[j][1] == side) or find(i) == find(j):
-                    continue
-                common = len(mine & sets[j])
-                if 100 * common >= threshold * (n + m - common):
-                    a, b = find(i), find(j)
-                    up[max(a, b)] = min(a, b)
-                    out.append((node, members[j][0]))
+                for j in reversed(held):
+                    m = len(members[j][2])
+                    if 100 * m < threshold * n:
+                        break  # the index is in order of size
+                    if j in tried:
+                        continue
+                    tried.add(j)
+                    common = len(mine & sets[j])
+                    if 100 * common >= threshold * (n + m - common):
+                        a, b = find(i), find(j)
+                        up[max(a, b)] = min(a, b)
+                        out.append((node, members[j][0]))
+                        break
+        root = find(i)
         for token in prefix:
-            index.setdefault(token, []).append(i)
+            index.setdefault(token, {}).setdefault(root, []).append(i)
     return out
 
 
@@ -209,31 +220,86 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, rows: i
                 yield doc_id, hashlib.blake2b(x.tobytes(), digest_size=16).digest(), x.tobytes()
 
     full = arrow_map(texts, again, "node long, digest binary, hashes binary", 128)
-    dealt = full.join(wanted, ["node", "digest"])
-    block = F.pmod(F.xxhash64("node", "digest"), F.col("nb")).cast("int")
-    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "nb", "node", "block", "digest", "hashes")
-
-    def solve(pdf):
-        import pandas as pd
-
-        pdf = pdf.drop_duplicates("digest")
-        members = [(n, b, np.frombuffer(h, np.uint64)) for n, b, h in zip(pdf["node"], pdf["block"], pdf["hashes"])]
-        got = star_edges(links(members, threshold, bool(pdf["x"].iloc[0] == pdf["y"].iloc[0])))
-        return pd.DataFrame(got, columns=["a", "b"]).astype("int64").assign(nb=pdf["nb"].iloc[0])
-
-    found = cut(dealt.groupBy("component", "x", "y").applyInPandas(solve, "a long, b long, nb int"))
-    # A component of one block is solved there; only the links of the others go through rounds.
-    final = found.where("nb = 1").select(F.col("a").alias("node"), F.col("b").alias("component"))
-    rest = found.where("nb > 1")
-    if not rest.isEmpty():
-        final = cut(final.union(components(rest)))
+    full = cut(full.join(wanted, ["node", "digest"]).dropDuplicates(["digest"]).select("node", "component", "nb", F.lit(0).cast("long").alias("grp"), "hashes"))
+    found = _verified(full, threshold)
+    # An id on rows of several texts joins their classes.
+    many = sets.groupBy("id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("id")
+    of_ids = sets.select("id", "digest").join(many, "id").join(classes.select("digest", "node"), "digest").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    of_ids = cut(of_ids.distinct())
+    final = cut(components(found.unionByName(of_ids)) if not of_ids.isEmpty() else _labels(found))
     classed = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("of_class"))
     by_row = s.drop("halves").join(classed, "digest", "left")
     component = F.coalesce("of_class", "id")
     return by_row.select("id", "n_shingles", "digest", component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
+def _labels(links_: DataFrame) -> DataFrame:
+    """node, component from links; those that are stars already need no rounds."""
+    crossed = links_.select("a").intersect(links_.select("b"))
+    twice = links_.groupBy("a").agg(F.count_distinct("b").alias("n")).where("n > 1").select("a")
+    if crossed.unionByName(twice).isEmpty():
+        low = links_.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return low.unionByName(links_.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    return components(links_)
+
+
+def _solve(dealt: DataFrame, keys: list[str], threshold: int) -> DataFrame:
+    """Links (a: node, b: the smallest it reaches in its block) of each block of (node, grp, hashes)."""
+
+    def solve(pdf):
+        import pandas as pd
+
+        pdf = pdf.drop_duplicates("node")
+        members = [(n, g, np.frombuffer(h, np.uint64)) for n, g, h in zip(pdf["node"], pdf["grp"], pdf["hashes"])]
+        return pd.DataFrame(star_edges(links(members, threshold)), columns=["a", "b"]).astype("int64")
+
+    return cut(dealt.groupBy(*keys).applyInPandas(solve, "a long, b long"))
+
+
+def _verified(full: DataFrame, threshold: int) -> DataFrame:
+    """Verified links a, b of the sets (node, component, nb blocks, grp, hashes): a spanning set of all there are."""
+    size = F.octet_length("hashes") / 8
+    members, salt, found = full.withColumn("grp", F.col("node")), 0, None
+    while True:
+        block = F.pmod(F.xxhash64("node", F.lit(salt)), F.col("nb"))
+        got = _solve(members.withColumn("block", block), ["component", "block"], threshold)
+        found = got if found is None else found.unionByName(got)
+        # Those of components of one block are done; of the others each joined group's smallest goes on.
+        left = members.where("nb > 1").join(got.select(F.col("a").alias("node")), "node", "left_anti")
+        if left.isEmpty():
+            return found
+        before = members.where("nb > 1").count()
+        total = left.groupBy("component").agg(F.ceil(F.sum(size) / BLOCK_SHINGLES).cast("int").alias("nb"))
+        members = cut(left.drop("nb").join(total, "component").select(members.columns))
+        salt += 1
+        if members.where("nb > 1").isEmpty():
+            found = cut(found.unionByName(_solve(members.withColumn("block", F.lit(0)), ["component", "block"], threshold)))
+            break
+        if members.count() > 0.9 * before:
+            found = cut(found)
+            break
+    label = _labels(found)
+    several = full.where("nb > 1").drop("grp").join(label.withColumnRenamed("component", "grp"), "node", "left")
+    several = cut(several.withColumn("grp", F.coalesce("grp", "node")))
+    sums = several.groupBy("component", "grp").agg(F.sum(size).alias("s"))
+    most = sums.groupBy("component").agg(F.max(F.struct("s", "grp")).alias("m"), F.sum("s").alias("all"))
+    most = cut(most.select("component", F.col("m.grp").alias("main"), F.ceil((F.col("all") - F.col("m.s")) / BLOCK_SHINGLES).cast("int").alias("nr")).where("nr > 0"))
+    if most.isEmpty():
+        return found
+    # Leftovers, in parts of bounded size, meet each block: those of the largest group, and each other's parts.
+    several = several.join(most, "component")
+    home = F.pmod(F.xxhash64("node", F.lit(-1)), F.col("nb"))
+    part = F.pmod(F.xxhash64("node", F.lit(-2)), F.col("nr"))
+    main = several.where("grp = main").withColumn("block", home).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)))
+    rest = several.where("grp <> main").withColumn("part", part.cast("int"))
+    against = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb").cast("long") - 1)))
+    other = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("nr") - 1)))
+    other = other.withColumn("block", F.lit(-1) - F.greatest("part", "with").cast("long")).withColumn("part", F.least("part", "with"))
+    names = ["component", "block", "part", "node", "grp", "hashes"]
+    crossed = main.select(names).unionByName(against.select(names)).unionByName(other.select(names))
+    return found.unionByName(_solve(crossed, ["component", "block", "part"], threshold))
+
+
 def minhash_digests(docs: DataFrame, size: int = 3, threshold: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
     out = near_duplicates(docs, size, threshold)
@@ -241,8 +307,31 @@ def minhash_digests(docs: DataFrame, size: int = 3, threshold: int = 85) -> Data
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group. Of rows that agree in id, columns and text, one stays."""
+    """``docs`` with one document of each group, the one of the smallest id.
+
+    Of rows that agree in all columns one stays. Rows without an id go if a document has their set of shingles; of
+    those that agree in their set with each other only, one stays.
+    """
     d = near_duplicates(docs, size, threshold, id_col=id_col, text_col=text_col)
-    gone = cut(d.where("NOT kept").select(F.col("id").alias("__gone")).distinct())
-    side = F.broadcast(gone) if gone.count() * 16 <= BROADCAST_BYTES else gone.hint("merge")
-    return docs.join(side, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    name = free_name(docs, "gone")
+    id_ = F.col(f"`{id_col}`")
+
+    def side(ids: DataFrame) -> DataFrame:
+        ids = cut(ids.select(F.col("id").alias(name)).distinct())
+        return F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids.hint("merge")
+
+    out = docs.join(side(d.where("id IS NOT NULL AND NOT kept")), id_ == F.col(name), "left_anti")
+    again = d.where("id IS NOT NULL").groupBy("id").count().where("count > 1")
+    if not again.isEmpty():
+        twice = side(again)
+        rows = out.join(twice, id_ == F.col(name), "left_semi")
+        out = out.join(twice, id_ == F.col(name), "left_anti").unionByName(rows.dropDuplicates())
+    if not d.where("id IS NULL AND digest IS NOT NULL").isEmpty():
+        nameless = cut(docs.where(id_.isNull()).withColumn(name, F.monotonically_increasing_id()))
+        own = sketch(nameless, size, ROWS, TABLES, name, text_col).select("id", "digest").where("digest IS NOT NULL")
+        own = own.join(d.where("id IS NOT NULL").select("digest", F.lit(1).alias("held")).distinct(), "digest", "left")
+        first = own.groupBy("digest").agg(F.min("id").alias("first"))
+        lost = cut(own.join(first, "digest").where("held IS NOT NULL OR id > first").select(F.col("id").alias(name)))
+        named = out.where(id_.isNotNull())
+        out = named.unionByName(nameless.join(lost.hint("merge"), name, "left_anti").drop(name).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return out

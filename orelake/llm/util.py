@@ -68,6 +68,14 @@ def only(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` hasn't got, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def arrow_map(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, chunk: int = 512, setup: Callable | None = None) -> DataFrame:
     """Runs ``rows`` over the tuples of each partition and gives its tuples back as Arrow batches of ``chunk`` rows.
 
@@ -149,6 +157,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates large-star and small-star rounds, each with a checkpoint, until the edge set no longer changes. A round
     makes at most two edges of one, and each task's forest drops repeated ones, so no round needs a distinct of its own.
+    A node of many edges meets its smallest neighbour by broadcast, or by a join whose hot partitions AQE splits.
     Nodes without edges aren't returned. Nothing but a count and a checksum reaches the driver.
     """
 
@@ -163,8 +172,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     sign = None
     while True:
         both = e.select(both_ways("a", "b", "b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # Stored, so that the join has two inputs of its own: broadcast if small, else AQE splits a hot node's edges.
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        large = join_side(both, low, "a", "inner", 16).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low2 = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low2, "a").select(both_ways("b", "m", "a", "m")).where("a <> b")
         e = shrink(small)

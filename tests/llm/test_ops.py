@@ -183,27 +183,130 @@ def test_links_equal_all_pairs():
             s.discard(x)
         s |= {r.randrange(1 << 60) for _ in range(r.randrange(0, 14))}
         members.append((i, i % 2, np.array(sorted(s), np.uint64)))
-    for same in (True, False):
-        up = list(range(80))
-        other = list(range(80))
+    for grouped in (False, True):
+        members = [(i, i % 7 if grouped and i % 7 < 3 else 100 + i, x) for i, _, x in members]
+        up, other = list(range(80)), list(range(80))
 
         def find(u, i):
             while u[i] != i:
                 i = u[i]
             return i
 
-        for a, b in minhash.links(members, 85, same):
-            x, y = find(up, a), find(up, b)
-            up[max(x, y)] = min(x, y)
+        def join(u, i, j):
+            x, y = find(u, i), find(u, j)
+            u[max(x, y)] = min(x, y)
+
+        for a, b in minhash.links(members, 85):
+            join(up, a, b)
         for i in range(80):
             for j in range(i):
                 a, b = set(members[i][2].tolist()), set(members[j][2].tolist())
-                if (same or members[i][1] != members[j][1]) and 100 * len(a & b) >= 85 * len(a | b):
-                    x, y = find(other, i), find(other, j)
-                    other[max(x, y)] = min(x, y)
+                if members[i][1] == members[j][1]:
+                    join(up, i, j)
+                    join(other, i, j)
+                elif 100 * len(a & b) >= 85 * len(a | b):
+                    join(other, i, j)
         assert [find(up, i) for i in range(80)] == [find(other, i) for i in range(80)]
 
 
+def linked(sets, threshold):
+    """Component by id, by all pairs."""
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            if find(i) != find(j) and 100 * len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) > 0:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_minhash_components_of_many_blocks(spark, monkeypatch):
+    """Chains and stars of near copies, texts that only candidate keys link, dealt into blocks of a few texts."""
+    r = random.Random(21)
+    rows, n = [], 0
+    for family in range(3):
+        base = [f"w{family}x{k}" for k in range(120)]
+        for i in range(40):
+            w = list(base)
+            for k in r.sample(range(120), (1, 2, 5)[i % 3]):
+                w[k] = f"c{n}x{k}"
+            rows.append((n, " ".join(w)))
+            n += 1
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = set(zip(w, w[1:], w[2:]))
+    want = linked(sets, 85)
+    assert 3 < len(set(want.values())) < 100
+    for blocks, wide in ((200_000, 24 << 20), (1_500, 24 << 20), (400, -1)):
+        monkeypatch.setattr(minhash, "BLOCK_SHINGLES", blocks)
+        monkeypatch.setattr(minhash, "BROADCAST_BYTES", wide)
+        got = minhash.minhash_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {x.doc_id: x.component_id for x in got} == want, blocks
+
+
+def test_minhash_recall_at_the_threshold():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    salts = minhash._salts(minhash.ROWS, minhash.TABLES)
+    for share, least in ((0.85, 0.99), (0.9, 0.998)):
+        met = 0
+        for _ in range(1200):
+            common = int(round(400 * share))
+            alone = (400 - common) // 2
+            x = r.integers(0, 1 << 63, common + 2 * alone, dtype=np.uint64)
+            a, b = (minhash.half_keys(y, salts, minhash.ROWS) for y in (x[: common + alone], np.r_[x[:common], x[common + alone :]]))
+            t = minhash.TABLES
+            met += any(p == q for p, q in zip(a[:t], b[:t])) and any(p == q for p, q in zip(a[t:], b[t:]))
+        assert met >= least * 1200
+
+
+def test_minhash_repeated_and_null_ids(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    u = " ".join(f"u{i}" for i in range(40))
+    v = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, t), (5, t), (5, u), (7, u), (9, v), (9, v), (None, v), (None, "p q r s t u"), (None, "p q r s t u"), (None, None), (None, None), (11, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(x.doc_id, x.component_id, x.kept) for x in minhash.minhash_digests(d).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (7, 1, False), (9, 9, True), (None, 9, False), (None, None, True), (11, 11, True)}
+    odd = d.select("*", *[F.lit(k).alias(c) for k, c in enumerate(("gone", "GONE_", "__gone", "id", "digest", "a.b", "lost"))])
+    kept = minhash.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns
+    assert sorted(((x[0], x[1]) for x in kept.collect()), key=repr) == sorted([(1, t), (9, v), (11, ""), (None, "p q r s t u"), (None, None), (None, None)], key=repr)
+
+
+def test_components_equal_union_find(spark, monkeypatch):
+    from orelake.llm import util
+
+    r = random.Random(2)
+    edges = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(400, 440)] + [(r.randrange(500, 900), r.randrange(500, 900)) for _ in range(300)] + [(3, 3)]
+    up = {}
+
+    def find(i):
+        while up.setdefault(i, i) != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            up[max(x, y)] = min(x, y)
+    for limit in (24 << 20, -1):
+        monkeypatch.setattr(util, "BROADCAST_BYTES", limit)
+        monkeypatch.setattr(util.small_enough, "__defaults__", (limit,))
+        got = util.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()
+        assert sorted((x.node, x.component) for x in got) == sorted((i, find(i)) for i in up)
+
+
 def test_decontamination(spark, docs, rows):
     w = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
     long = next(r[1] for r in rows if r[1] and len(w(r[1])) > 40)

@@ -34,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import BROADCAST_BYTES, arrow_map, components, cut, free_name, only
+from .util import BROADCAST_BYTES, arrow_map, components, cut, free_name, join_side, only
 
 ROWS, TABLES = 4, 10
 #: Shingles in a block of a component, and words whose hashes a task remembers.
-BLOCK_SHINGLES, WORDS_KEPT = 200_000, 300_000
+BLOCK_SHINGLES, WORDS_KEPT = 60_000, 300_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -221,26 +221,38 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: int = 80, rows: i
 
     full = arrow_map(texts, again, "node long, digest binary, hashes binary", 128)
     full = cut(full.join(wanted, ["node", "digest"]).dropDuplicates(["digest"]).select("node", "component", "nb", F.lit(0).cast("long").alias("grp"), "hashes"))
-    found = _verified(full, threshold)
+    label, extra = _verified(full, threshold)
     # An id on rows of several texts joins their classes.
     many = sets.groupBy("id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("id")
     of_ids = sets.select("id", "digest").join(many, "id").join(classes.select("digest", "node"), "digest").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    of_ids = cut(of_ids.distinct())
-    final = cut(components(found.unionByName(of_ids)) if not of_ids.isEmpty() else _labels(found))
+    final = _relabelled(label, extra.unionByName(of_ids.distinct()))
     classed = classes.select("digest", "node").join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("of_class"))
     by_row = s.drop("halves").join(classed, "digest", "left")
     component = F.coalesce("of_class", "id")
     return by_row.select("id", "n_shingles", "digest", component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
-def _labels(links_: DataFrame) -> DataFrame:
-    """node, component from links; those that are stars already need no rounds."""
-    crossed = links_.select("a").intersect(links_.select("b"))
-    twice = links_.groupBy("a").agg(F.count_distinct("b").alias("n")).where("n > 1").select("a")
-    if crossed.unionByName(twice).isEmpty():
-        low = links_.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        return low.unionByName(links_.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-    return components(links_)
+def _follow(levels: list[DataFrame]) -> DataFrame:
+    """node, component from the links of each round: a node has one link to a smaller one, which may have its own in a
+    later round. Every round is stored and its nodes are unique, so the join on a popular node is one that AQE splits."""
+    out = levels[-1].select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for got in reversed(levels[:-1]):
+        up = out.select(F.col("node").alias("b"), "component")
+        mine = join_side(got, up, "b", "left", 16).select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
+        out = cut(mine.unionByName(out))
+    return out
+
+
+def _relabelled(label: DataFrame, extra: DataFrame) -> DataFrame:
+    """The labels after further links a, b between nodes: components of the groups that these join."""
+    extra = cut(extra)
+    if extra.isEmpty():
+        return label
+    of = lambda c: label.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    ends = extra.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
+    over = components(cut(ends)).withColumnRenamed("component", "low")
+    first = label.join(over.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("low", "component").alias("component"))
+    return cut(first.unionByName(over.join(label, "node", "left_anti").select("node", F.col("low").alias("component"))))
 
 
 def _solve(dealt: DataFrame, keys: list[str], threshold: int) -> DataFrame:
@@ -256,36 +268,33 @@ def _solve(dealt: DataFrame, keys: list[str], threshold: int) -> DataFrame:
     return cut(dealt.groupBy(*keys).applyInPandas(solve, "a long, b long"))
 
 
-def _verified(full: DataFrame, threshold: int) -> DataFrame:
-    """Verified links a, b of the sets (node, component, nb blocks, grp, hashes): a spanning set of all there are."""
+def _verified(full: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Of the sets (node, component, nb blocks, grp, hashes): the labels (node, component) that the rounds give, and the
+    links a, b found between leftovers after them."""
     size = F.octet_length("hashes") / 8
-    members, salt, found = full.withColumn("grp", F.col("node")), 0, None
+    members, levels = full.withColumn("grp", F.col("node")), []
     while True:
-        block = F.pmod(F.xxhash64("node", F.lit(salt)), F.col("nb"))
+        block = F.pmod(F.xxhash64("node", F.lit(len(levels))), F.col("nb"))
         got = _solve(members.withColumn("block", block), ["component", "block"], threshold)
-        found = got if found is None else found.unionByName(got)
-        # Those of components of one block are done; of the others each joined group's smallest goes on.
-        left = members.where("nb > 1").join(got.select(F.col("a").alias("node")), "node", "left_anti")
-        if left.isEmpty():
-            return found
-        before = members.where("nb > 1").count()
-        total = left.groupBy("component").agg(F.ceil(F.sum(size) / BLOCK_SHINGLES).cast("int").alias("nb"))
-        members = cut(left.drop("nb").join(total, "component").select(members.columns))
-        salt += 1
-        if members.where("nb > 1").isEmpty():
-            found = cut(found.unionByName(_solve(members.withColumn("block", F.lit(0)), ["component", "block"], threshold)))
-            break
-        if members.count() > 0.9 * before:
-            found = cut(found)
+        levels.append(got)
+        # Components of one block are done; of the others each joined group's smallest goes on.
+        members = members.where("nb > 1")
+        left = cut(members.join(got.select(F.col("a").alias("node")), "node", "left_anti"))
+        n, before = left.count(), members.count()
+        if not n and len(levels) == 1:
+            return _follow(levels), got.limit(0)
+        if n > 0.9 * before or not n:
             break
-    label = _labels(found)
+        total = left.groupBy("component").agg(F.ceil(F.sum(size) / BLOCK_SHINGLES).cast("int").alias("nb"))
+        members = left.drop("nb").join(total, "component").select(members.columns)
+    label = cut(_follow(levels))
     several = full.where("nb > 1").drop("grp").join(label.withColumnRenamed("component", "grp"), "node", "left")
     several = cut(several.withColumn("grp", F.coalesce("grp", "node")))
     sums = several.groupBy("component", "grp").agg(F.sum(size).alias("s"))
     most = sums.groupBy("component").agg(F.max(F.struct("s", "grp")).alias("m"), F.sum("s").alias("all"))
     most = cut(most.select("component", F.col("m.grp").alias("main"), F.ceil((F.col("all") - F.col("m.s")) / BLOCK_SHINGLES).cast("int").alias("nr")).where("nr > 0"))
     if most.isEmpty():
-        return found
+        return label, got.limit(0)
     # Leftovers, in parts of bounded size, meet each block: those of the largest group, and each other's parts.
     several = several.join(most, "component")
     home = F.pmod(F.xxhash64("node", F.lit(-1)), F.col("nb"))
@@ -297,7 +306,7 @@ def _verified(full: DataFrame, threshold: int) -> DataFrame:
     other = other.withColumn("block", F.lit(-1) - F.greatest("part", "with").cast("long")).withColumn("part", F.least("part", "with"))
     names = ["component", "block", "part", "node", "grp", "hashes"]
     crossed = main.select(names).unionByName(against.select(names)).unionByName(other.select(names))
-    return found.unionByName(_solve(crossed, ["component", "block", "part"], threshold))
+    return label, _solve(crossed, ["component", "block", "part"], threshold)
 
 
 def minhash_digests(docs: DataFrame, size: int = 3, threshold: int = 85) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import arrow_map, only
+from .util import arrow_map, masked, only
 
 #: Words in a window; suffix positions kept; words in a shard's index; words of benchmark text in a block.
 SIZE, SAMPLE, SHARD_WORDS, SHARD_DOCS, BLOCK_WORDS = 10, 8, 1 << 19, 4096, 1 << 20
@@ -263,13 +263,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_co
     sc = docs.sparkSession.sparkContext
     blocks = [sc.broadcast(b) for b in _blocks(benchmark, "item_id", "text")]
     at = docs.columns.index(text_col)
+    inner, _, back = masked(docs)
 
     def rows(it: Iterator[tuple]) -> Iterator[tuple]:
         for row, _, spans, _ in scan(it, at, blocks, size):
             yield (*row[:at], remove_spans(row[at], spans), *row[at + 1 :]) if spans else row
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, rows, schema)
+    return back(arrow_map(inner, rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema)))
 
 
 def leak_digests(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:

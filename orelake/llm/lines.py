@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import cut, join_side
+from .util import BROADCAST_BYTES, cut, free_name, join_side, masked
 
 #: The white space of the key.
 SPACE = " \t\n\x0b\x0c\r"
@@ -46,29 +46,35 @@ def line_keys(text: Column, min_chars: int) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs``, with the text reassembled, and ``__n_lines`` and ``__n_dropped``."""
-    base = docs.withColumn("__keys", line_keys(F.col(f"`{text_col}`"), min_chars))
-    # A row is known by its id and its keys: rows that agree in both lose the same lines.
-    light = base.select(F.col(f"`{id_col}`").alias("id"), F.array_distinct(F.filter("__keys", lambda k: k.isNotNull())).alias("keys"))
-    held = light.where(F.size("keys") > 0).select("id", F.explode("keys").alias("k"))
+    """All columns of ``docs``, with the text reassembled, and ``__n_lines`` and ``__n_dropped`` (with more underscores
+    behind where ``docs`` has columns of these names)."""
+    inner, at, back = masked(docs)
+    id_, text = F.col(at[id_col]), F.col(at[text_col])
+    # A row is known by its id and, where it has none, by its keys: rows that agree in both lose the same lines.
+    own = lambda keys: F.when(F.col("id").isNull(), F.xxhash64(keys)).otherwise(F.lit(0).cast("long"))
+    base = inner.withColumn("keys", line_keys(text, min_chars)).withColumn("id", id_)
+    found = lambda: F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))
+    light = base.select("id", found().alias("keys")).where(F.size("keys") > 0).withColumn("own", own("keys"))
+    held = light.select("id", "own", F.explode("keys").alias("k"))
     pairs = held.where(F.col("id").isNotNull()).groupBy("k", "id").count()
     frequent = pairs.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs)
     frequent = cut(frequent.select(F.col("k.h").alias("h"), F.col("k.g").alias("g"), "last"))
-    hits = held.select("id", F.col("k.h").alias("h"), F.col("k.g").alias("g"))
+    hits = held.select("id", "own", F.col("k.h").alias("h"), F.col("k.g").alias("g"))
     hits = join_side(hits, frequent, ["h", "g"], "inner", 40).where(~F.col("id").eqNullSafe(F.col("last")))
-    losses = hits.groupBy("id").agg(F.collect_set(F.struct("h", "g")).alias("__lost")).withColumnRenamed("id", "__id")
-    losses = cut(losses)
-    width = (losses.agg(F.sum(F.size("__lost") * 24 + 32)).first()[0] or 0) + 1
-    from .util import BROADCAST_BYTES
-
+    losses = cut(hits.groupBy("id", "own").agg(F.collect_set(F.struct("h", "g")).alias("lost")))
+    width = losses.agg(F.sum(F.size("lost") * 24 + 40)).first()[0] or 0
     side = F.broadcast(losses) if width <= BROADCAST_BYTES else losses.hint("merge")
-    out = base.join(side, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) if width <= BROADCAST_BYTES else F.coalesce(F.col(f"`{id_col}`"), F.lit(-(2**63))) == F.coalesce(F.col("__id"), F.lit(-(2**63))), "left").drop("__id")
-    lines = split_lines(F.col(f"`{text_col}`"))
-    kept = F.filter(F.arrays_zip(lines.alias("line"), F.col("__keys").alias("key")), lambda x: x["key"].isNull() | ~F.array_contains(F.col("__lost"), x["key"]))
-    out = out.withColumn("__kept", F.when(F.col("__lost").isNull(), lines).otherwise(F.transform(kept, lambda x: x["line"])))
-    out = out.withColumn("__n_lines", F.size(lines).cast("long")).withColumn("__n_dropped", (F.size(lines) - F.size("__kept")).cast("long"))
-    text = F.when(F.col("__lost").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join("__kept", "\n"))
-    return out.withColumn(text_col, text).drop("__keys", "__lost", "__kept")
+    number = lambda c: F.coalesce(F.col(c), F.lit(0))  # noqa: E731  nulls are told apart by the other key
+    side = side.select(number("id").alias("lost_id"), F.col("id").isNull().alias("nameless"), F.col("own").alias("lost_own"), "lost")
+    base = base.withColumn("own", own(found()))
+    out = base.join(side, (number("id") == F.col("lost_id")) & (F.col("id").isNull() == F.col("nameless")) & (F.col("own") == F.col("lost_own")), "left")
+    lines = split_lines(text)
+    kept = F.filter(F.arrays_zip(lines.alias("line"), F.col("keys").alias("key")), lambda x: x["key"].isNull() | ~F.array_contains(F.col("lost"), x["key"]))
+    out = out.withColumn("kept", F.when(F.col("lost").isNull(), lines).otherwise(F.transform(kept, lambda x: x["line"])))
+    n, dropped = free_name(docs, "__n_lines"), free_name(docs, "__n_dropped")
+    out = out.withColumn(n, F.size(lines).cast("long")).withColumn(dropped, (F.size(lines) - F.size("kept")).cast("long"))
+    out = out.withColumn(at[text_col], F.when(F.col("lost").isNull(), text).otherwise(F.array_join("kept", "\n")))
+    return back(out, n, dropped)
 
 
 def line_digests(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

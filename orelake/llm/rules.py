@@ -5,7 +5,7 @@ pairs: window hashes are sorted with their positions, windows equal to a neighbo
 between their positions give the words covered.
 
 Method. Sequential covering: from labelled statistics a rule is grown, threshold by threshold, on two thirds of the rows
-that no rule before it covers, then pruned on the last third while its precision there doesn't fall. A rule is kept if
+that pass the base rule and that no rule before it covers, then pruned on the last third while its precision there doesn't fall. A rule is kept if
 it rejects bad rows with at least ``precision``; the list ends where none is found. It is emitted as ordered conditions,
 one Spark ``when`` chain; what no rule covers is kept. The learner sees a bounded sample (``sample_rows`` labelled
 rows, those of the smallest id hashes); the statistics and verdicts cover all rows.
@@ -22,6 +22,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .util import masked
+
 WINDOW = 5
 #: The counted symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -167,30 +169,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, label_col:
     lab = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(label_col).alias("good"))
     # The smallest hashes: a top-k, so at most sample_rows rows whatever the size of the input.
     lab = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    got = statistics(docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id"))
-    rows = got.select(F.xxhash64("doc_id", F.lit(3)).alias("k"), "doc_id", (F.col("good") < 0.5).cast("int").alias("bad"), *[F.col(f"q_{f}").cast("double").alias(f) for f in FEATURES]).collect()
+    # What the base rule rejects is rejected without the list, so the list is learned on the rest.
+    got = statistics(docs.select("doc_id", "text").join(F.broadcast(lab), "doc_id")).withColumn("q__stop", F.monotonically_increasing_id())
+    rows = got.where(~base_failed() & (F.col("q__stop") >= 0)).select(F.xxhash64("doc_id", F.lit(3)).alias("k"), "doc_id", (F.col("good") < 0.5).cast("int").alias("bad"), *[F.col(f"q_{f}").cast("double").alias(f) for f in FEATURES]).collect()
     rows = sorted(rows, key=lambda r: (r["k"], r["doc_id"]))
     return learn([({f: r[f] for f in FEATURES}, r["bad"]) for r in rows], precision)
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> DataFrame:
-    """``docs`` with its statistics, ``q_base_failed`` and ``q_kept``."""
-    rules = fit(docs, labels, sample_rows)
-    d = statistics(docs)
+def verdicts(d: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Statistics with ``q_base_failed``, ``q_rule`` and ``q_kept``."""
     return d.withColumn("q_base_failed", base_failed()).withColumn("q_rule", condition(rules)).withColumn("q_kept", ~F.col("q_base_failed") & (F.col("q_rule") == 0))
 
 
+def judge(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> DataFrame:
+    """doc_id and text with their statistics, ``q_base_failed``, ``q_rule`` and ``q_kept``."""
+    return verdicts(statistics(docs.select("doc_id", "text")), fit(docs, labels, sample_rows))
+
+
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> DataFrame:
     """``docs`` without the rows that are rejected.
 
     The row number is there to keep the filter above the statistics: pushed below them, each of its terms would carry
     a copy of all they are made of, and the plan would grow without end.
     """
-    d = judge(docs, labels, sample_rows).withColumn("q__stop", F.monotonically_increasing_id())
-    return d.where(F.col("q_kept") & (F.col("q__stop") >= 0)).select(docs.columns)
+    inner, at, back = masked(docs)
+    learned = fit(docs, labels, sample_rows)
+    d = verdicts(statistics(inner, at["text"]), learned).withColumn("q__stop", F.monotonically_increasing_id())
+    return back(d.where(F.col("q_kept") & (F.col("q__stop") >= 0)))
 
 
 def rule_digests(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000) -> DataFrame:
-    d = judge(docs.select("doc_id", "text"), labels, sample_rows)
+    d = judge(docs, labels, sample_rows)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return d.select("doc_id", *[F.col(f"q_{n}").alias(n) for n in names], F.col("q_rule").alias("rule"))

@@ -76,6 +76,16 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[..., DataFrame]]:
+    """``df`` with columns c0, c1, ... so that no name of its own can clash; where each went; and the way back.
+
+    The way back takes a frame of these columns and the names of further ones to keep.
+    """
+    names = df.columns
+    inner = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return inner, {n: f"c{i}" for i, n in enumerate(names)}, lambda d, *more: d.select(*inner.columns, *more).toDF(*names, *more)
+
+
 def arrow_map(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, chunk: int = 512, setup: Callable | None = None) -> DataFrame:
     """Runs ``rows`` over the tuples of each partition and gives its tuples back as Arrow batches of ``chunk`` rows.
 

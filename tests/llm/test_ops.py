@@ -402,6 +402,58 @@ def test_rules(spark, docs, rows):
         g = got[r[0]]
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(ls) - len(set(ls)), len(cov), failed)
         assert not (g.kept and failed)
+    learned = rules.fit(docs, labels)
+    assert {g.rule for g in got.values()} <= set(range(len(learned) + 1))
+
+
+def test_rules_verdict_equals_the_list_applied_by_hand(spark):
+    r = random.Random(14)
+    rows = []
+    for i in range(400):
+        w = [r.choice(WORDS) for _ in range(r.randrange(12, 60))]
+        if i % 5 == 0:
+            w = [x + "#|" * r.randrange(1, 4) for x in w]
+        if i % 7 == 0:
+            w = [x.upper() for x in w]
+        if i % 11 == 0:
+            w = w[:5] * 6
+        rows.append((i, " ".join(w) + ("\nsame line\nsame line" if i % 13 == 0 else ""), None, None, 0))
+    d = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    learned = rules.fit(d, labels)
+    assert learned
+    stats = {x.doc_id: x for x in rules.statistics(d.select("doc_id", "text")).collect()}
+    got = rules.rule_digests(d, labels).collect()
+    for g in got:
+        x = {f: stats[g.doc_id][f"q_{f}"] for f in rules.FEATURES}
+        first = next((k for k, rule in enumerate(learned, 1) if rules._holds(rule, x)), 0)
+        assert g.rule == first and g.kept == (not g.base_failed and first == 0)
+    assert sum(g.kept for g in got) > 200 and not any(g.kept for g in got if g.doc_id % 5 == 0)
+
+
+CLASHES = ("q_kept", "q_rule", "q_n_words", "q__stop", "q__w", "__lost", "__id", "__n_lines", "__n_dropped", "__keys", "__kept", "__gone", "gone", "a.b", "c0", "c1", "id", "keys", "own", "lost", "row", "K", "h")
+
+
+def test_stages_keep_columns_of_any_name(spark, docs, rows):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "kana lopo")], "item_id long, text string")
+    odd = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
+    plain = lambda f: sorted(((x[0], x[1]) for x in f(docs).collect()), key=repr)
+    for f in (lambda d: rules.keep_good(d, labels), lines.dedup_lines, minhash.drop_near_duplicates, lambda d: decontam.decontaminate(d, bench)):
+        got = f(odd)
+        assert got.columns[: len(odd.columns)] == odd.columns
+        out = [tuple(x) for x in got.collect()]
+        assert sorted(((x[0], x[1]) for x in out), key=repr) == plain(f)
+        k = len(docs.columns)
+        assert all(x[k + i] == f"{c}:{x[0]}" for x in out for i, c in enumerate(CLASHES))
+
+
+def test_lines_without_ids(spark):
+    a, b = "a line that is long enough to be counted here", "another line that is long enough to be counted"
+    rows = [(i, f"{a}\nown {i}") for i in range(6)] + [(None, f"{a}\nnull"), (None, f"{b}\nx"), (None, f"{b}\n{a}"), (None, None), (5, f"{a}\nown 5")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(i, f"own {i}") for i in range(5)] + [(5, f"{a}\nown 5")] * 2 + [(None, "null"), (None, f"{b}\nx"), (None, b), (None, None)]
+    assert sorted(((x.doc_id, x.text) for x in got), key=repr) == sorted(want, key=repr)
 
 
 def test_decision_list_is_learned():

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def raw(self) -> DataFrame:
@@ -54,14 +57,19 @@ class Tables:
     def silver(self) -> DataFrame:
         return quality.silver(self.flagged())
 
+    @cached_property
+    def good(self) -> DataFrame:
+        """Silver, stored once for what reads it several times."""
+        return cut(self.silver())
+
     def customers(self) -> DataFrame:
-        return star.dim_customer(self.silver())
+        return star.dim_customer(self.good)
 
     def dates(self) -> DataFrame:
         return star.dim_date(self.spark, "1995-01-01", "2001-12-31")
 
     def fact(self) -> DataFrame:
-        return star.fact_orders(self.silver(), self.customers())
+        return star.fact_orders(self.good, self.customers())
 
 
 def over(*names: str, sql: str | None = None):
@@ -228,7 +236,7 @@ def agg_customer(t):
 @over(sql=with_raw("SELECT strftime(d.date, '%Y-%m-%d') AS date, f.segment, c.customer_name, f.order_id, f.amount FROM fact f JOIN dim_date d USING (date_key) JOIN dim_customer c USING (customer_key)"))
 def bi_kpi_sales(t):
     c = cut(t.customers())
-    return star.fact_orders(t.silver(), c).join(F.broadcast(t.dates().select("date_key", "date")), "date_key").join(c.select("customer_key", "customer_name"), "customer_key").select(F.col("date").cast("string").alias("date"), "segment", "customer_name", "order_id", "amount")
+    return star.fact_orders(t.good, c).join(F.broadcast(t.dates().select("date_key", "date")), "date_key").join(c.select("customer_key", "customer_name"), "customer_key").select(F.col("date").cast("string").alias("date"), "segment", "customer_name", "order_id", "amount")
 
 
 def _bi(t, *keys):
@@ -249,7 +257,7 @@ def bi_revenue_by_hour(t):
 @over(sql=with_raw("SELECT c.customer_name, c.segment, count(*) AS orders, CAST(sum(amount) AS DECIMAL(18,2)) AS revenue FROM fact f JOIN dim_customer c USING (customer_key) GROUP BY ALL ORDER BY revenue DESC, customer_name LIMIT 10"))
 def bi_top_customers(t):
     c = cut(t.customers())
-    sums = star.agg_by(star.fact_orders(t.silver(), c), "customer_key")
+    sums = star.agg_by(star.fact_orders(t.good, c), "customer_key")
     return sums.join(c, "customer_key").select("customer_name", "segment", "orders", "revenue").orderBy(F.desc("revenue"), "customer_name").limit(10)
 
 
@@ -271,7 +279,7 @@ def bi_revenue_by_day_part(t):
 @over(sql=with_raw("SELECT CAST(0 AS BIGINT) AS missing_date, CAST(0 AS BIGINT) AS missing_time, (SELECT count(*) FROM fact WHERE customer_key IS NULL OR customer_key % 10 = 0) AS missing_customer"))
 def missing_dimension_audit(t):
     c = cut(t.customers())
-    return star.missing_dimensions(star.fact_orders(t.silver(), c), t.dates(), star.dim_time(t.spark), c.where("customer_key % 10 <> 0"))
+    return star.missing_dimensions(star.fact_orders(t.good, c), t.dates(), star.dim_time(t.spark), c.where("customer_key % 10 <> 0"))
 
 
 @over(sql="""WITH l AS (SELECT date_trunc('day', ts) AS run_ts, count(*) AS new_rows FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY run_ts DESC) AS rn FROM l),
@@ -386,7 +394,7 @@ UNION ALL SELECT 'validity', 'fact_amount_small', (SELECT count(*) FROM fact WHE
 UNION ALL SELECT 'validity', 'fact_orders_per_customer', (SELECT coalesce(sum(c), 0) FROM (SELECT count(*) AS c FROM fact GROUP BY customer_key HAVING count(order_id) > 15)), false)"""))
 def declarative_checks(t):
     c = cut(t.customers())
-    flagged = quality.apply_checks(star.fact_orders(t.silver(), c), FACT_CHECKS, {"dim_customer": c.where("customer_key % 50 <> 0")})
+    flagged = quality.apply_checks(star.fact_orders(t.good, c), FACT_CHECKS, {"dim_customer": c.where("customer_key % 50 <> 0")})
     return quality.declared_results(flagged, FACT_CHECKS, "gold", "fact_orders").select(*_RES)
 
 

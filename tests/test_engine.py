@@ -121,20 +121,86 @@ def test_upsert_guard(spark):
     assert sorted(map(tuple, merge.upsert(t, s, ["k"], "v").collect())) == [(1, 5), (2, 1)]
 
 
-def test_text():
-    page = "---\ntitle: 'T'\n---\nimport X\n<Aside type=\"NOTE\">\nSee [this](u) ![i](u)\n</Aside>\n# One\n" + "word " * 300 + "\n```sql\n# no heading\n```\n## Two\n" + "more " * 40
-    rows = text.chunk_page("p", page, "small")
-    assert [r[4] for r in rows][-1] == "One > Two" and all(len(r[6]) <= 800 for r in rows)
-    assert text.clean('<Aside title="hELLO">\nx\n') == "Hello:\nx"
-    assert text.chunks("a" * 2000, 800, 120) and "".join(text.pieces("a" * 2000, 800)) == "a" * 2000
-    assert text.chunk_page("p", None, "small") == []
+GUIDE = """---
+title: "Bins: a guide"
+---
+import { Tabs } from "x";
+<!-- a note
+over lines -->
+<Aside
+  type="CAUTION"
+>
+Several lines. See [the list](/list/). ![pic](a.png)
+</Aside>
+# Turn `on`
+<Tabs>
+    ```sql
+    # no heading
+
+    SELECT 1;
+    ```
+</Tabs>
+## Limits ##
+Few.
+
+#### Deep
+End.
+# Next
+~~~
+open"""
+
+
+def test_pages_are_scanned():
+    meta, body = text.front_matter(GUIDE.replace("\n", "\r\n"))
+    page = text.scan(body)
+    assert meta == {"title": "Bins: a guide"}
+    parts = {n: page.text[a:b].strip() for n, a, b in text.sections(page)}
+    assert parts == {
+        "": "Caution:\nSeveral lines. See the list.",
+        "Turn `on": "```sql\n# no heading\n\nSELECT 1;\n```",
+        "Turn `on > Limits": "Few.",
+        "Turn `on > Limits > Deep": "End.",
+        "Next": "~~~\nopen",
+    }
+    assert [page.text[a:b] for a, b in page.code] == ["```sql\n# no heading\n\nSELECT 1;\n```", "~~~\nopen"]
+    assert text.front_matter("---\nno end") == ({}, "---\nno end") and text.clean('<Aside title="hELLO">\nx\n') == "Hello:\nx"
+    assert text.clean("") == "" and text.chunk_page("p", None, "small") == []
+
+
+def test_chunks_are_bounded_and_lose_nothing():
+    import random
+
+    r = random.Random(1)
+    for profile, (most, overlap) in text.PROFILES.items():
+        for _ in range(40):
+            words = [f"w{k}" + "x" * r.randrange(1, 9) for k in range(r.randrange(20, 1500))]
+            body, at = "", 0
+            while at < len(words):
+                n = r.randrange(1, 60)
+                body += " ".join(words[at : at + n]) + r.choice(("\n\n", "\n", " "))
+                at += n
+            rows = text.chunk_page("p", body, profile)
+            assert [x[5] for x in rows] == list(range(len(rows))) and all(len(x[6]) <= most and x[6].startswith("p\n\n") for x in rows)
+            held = [x[6].removeprefix("p\n\n") for x in rows]
+            assert " ".join(held).split() and set(words) == {w for c in held for w in c.split()}
+            for a, b in zip(held, held[1:]):  # what a chunk begins with is the end of the one before, or new text
+                again = max(k for k in range(overlap + 1) if a.endswith(b[:k]))
+                assert b[again:].split()[0] == words[words.index(a.split()[-1]) + 1]
+    assert "".join(text.pieces("a" * 2000, 800)) == "a" * 2000
+    assert sum(len(c.replace(" ", "").replace("\n", "")) for c in text.packed(text.pieces("x " * 2000, 300), 300, 0)) == 2000
+    rows = text.chunk_page("long", "---\ntitle: " + "T" * 900 + "\n---\n" + "word " * 300, "small")
+    assert rows and all(x[6].startswith("T" * 900) for x in rows)
 
 
 def test_retrieval_helpers(spark):
     d = spark.createDataFrame([(" I don't know based on the docs", ["a", "b"], "b"), ("See [2] and [1][9]", ["a", "b"], "c")], "answer string, docs array<string>, expected string")
     r = d.select(retrieve.is_abstention(F.col("answer")), retrieve.cited(F.col("answer"), F.col("docs")), retrieve.hit_rank(F.col("expected"), F.col("docs"))).collect()
     assert [tuple(x) for x in r] == [(True, [], 2), (False, ["a", "b"], None)]
-    assert retrieve.parse_judgement('x {"correct": "yes", "relevant": 1, "grounded": [1]}') == {"correct": 1, "relevant": 1, "grounded": 0}
+    said = ['x {"correct": "yes", "relevant": 1, "grounded": [1]}', "no object", None, '{"correct": true, "relevant": 0} {"relevant": 1}']
+    j = spark.createDataFrame([(t,) for t in said], "t string").select(retrieve.judgement(F.col("t")).alias("j")).select("j.*").collect()
+    assert [tuple(x) for x in j] == [(1, 1, 0), (0, 0, 0), (0, 0, 0), (1, 0, 0)]
+    m = d.select(retrieve.messages(F.col("answer"), F.col("expected")).alias("m"), retrieve.judge_messages(F.col("answer"), F.col("expected"), F.col("expected")).alias("j")).first()
+    assert [x.role for x in m.m] == ["system", "user"] and m.m[1].content.startswith("Passages:\n\nb") and "correct, relevant, grounded" in m.j[0].content
 
 
 def test_runner():

@@ -15,6 +15,19 @@ def csv(spark: SparkSession, path: str, schema: str, stream: bool = False, **opt
     return _reader(spark, stream).schema(schema).options(header="true", **options).csv(path)
 
 
+def csv_lines(spark: SparkSession, path: str, schema: str, stream: bool = False) -> DataFrame:
+    """Lines of CSV files with a header, by position; cells beyond the declared ones, and lines that can't be read as
+    they are declared, go to ``_rescued_data``. A header line is one that begins with the first declared name."""
+    fields = T._parse_datatype_string(schema).names
+    raw = _reader(spark, stream).text(path).withColumns({"_source_file": F.col("_metadata.file_path"), "_ingested_at": F.current_timestamp()})
+    raw = raw.where(~F.col("value").startswith(f"{fields[0]},") & (F.col("value") != ""))
+    cells = F.split("value", ",", -1)
+    parsed = F.from_csv(F.array_join(F.slice(cells, 1, len(fields)), ","), f"{schema}, `__bad` string", {"columnNameOfCorruptRecord": "__bad"})
+    d = raw.withColumns({"__p": parsed, "__n": F.size(cells), "__more": F.array_join(F.slice(cells, len(fields) + 1, F.greatest(F.size(cells) - len(fields), F.lit(0))), ",")})
+    rescued = F.when(F.col("__p.__bad").isNotNull(), F.col("value")).when(F.col("__n") > len(fields), F.col("__more"))
+    return d.select(*[F.col(f"__p.{f}").alias(f) for f in fields], rescued.alias("_rescued_data"), "_source_file", "_ingested_at")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str, stream: bool = False) -> DataFrame:
     """Fields of the declared schema; what else a line holds, or a line that is no object, goes to ``_rescued_data``."""
     raw = _reader(spark, stream).text(path)

@@ -27,11 +27,16 @@ def each_batch(stream: DataFrame, checkpoint: str, f: Callable[[DataFrame, int],
 
 
 def insert_only(stream: DataFrame, table: Table, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Each key's first row is kept. A batch that runs again after a crash finds its keys there and changes nothing."""
+    """Each key's first row is kept. A batch that runs again after a crash finds its keys there and adds nothing.
+
+    A batch reads the table's keys and appends its own new rows; what is stored is never written again.
+    """
 
     def merge_batch(batch: DataFrame, _: int) -> None:
-        batch = batch.dropDuplicates(keys)
-        table.write(merge.insert_only(table.read(), batch, keys) if table.exists() else batch)
+        new = batch.dropDuplicates(keys)
+        if table.exists():
+            new = new.join(table.read().select(*keys), keys, "left_anti")
+        table.append(new)
 
     return each_batch(stream, checkpoint, merge_batch)
 
@@ -46,5 +51,11 @@ def upsert(stream: DataFrame, table: Table, keys: list[str], sequence_by: str, c
     return each_batch(stream, checkpoint, merge_batch)
 
 
+def progress(q: StreamingQuery) -> dict[str, object]:
+    """What the last batch with rows did: batch id, rows, rows a second."""
+    last = next((p for p in reversed(q.recentProgress) if p["numInputRows"]), q.lastProgress) or {}
+    return {"batch": last.get("batchId"), "rows": last.get("numInputRows", 0), "rows_per_second": last.get("processedRowsPerSecond")}
+
+
 def from_table(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)

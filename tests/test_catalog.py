@@ -3,7 +3,7 @@ import os
 import pytest
 from compare import connect, differences
 
-from orelake import catalog
+from orelake import catalog, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")

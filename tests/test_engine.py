@@ -229,3 +229,78 @@ def test_entry_survives_without_corpus_operators(tmp_path):
     shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True)
+
+
+def test_append_adds_a_folder_and_keeps_the_key(spark, tmp_path):
+    d = spark.createDataFrame([(1, "web")], "id int, channel string")
+    t = Table(spark, f"file://{tmp_path}/t", Contract(d.schema, ("id",), {}, ("id",)))
+    for i in range(3):
+        t.append(spark.createDataFrame([(i, "web")], d.schema))
+    folders = [f for _, f in t.history()]
+    assert [len(f) for f in folders] == [1, 2, 3] and folders[2][:2] == folders[1]
+    with pytest.raises(ContractError, match="primary_key"):
+        t.append(d)
+    assert t.read().count() == 3 and t.read(1).count() == 1 and t.vacuum() == 2 and t.read().count() == 3
+    t.write(t.read().where("id > 0"))
+    assert t.vacuum() == 1 and sorted(r.id for r in t.read().collect()) == [1, 2]
+
+
+def test_csv_stream_evolves(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    (src / "a.csv").write_text("order_id,customer,amount\n1,ann,2.5\n2,bob,x\n")
+    read = lambda schema: files.csv_lines(spark, str(src), schema, stream=True)
+    q = ingest.append_all(read("order_id int, customer string, amount double"), out, str(tmp_path / "cp"))
+    assert ingest.progress(q)["rows"] == 3  # lines, the header with them
+    (src / "b.csv").write_text("order_id,customer,amount,region\n3,cid,4.0,north\n")
+    ingest.append_all(read("order_id int, customer string, amount double"), out, str(tmp_path / "cp"))
+    rows = {r.order_id: r for r in spark.read.parquet(out).collect()}
+    assert rows[1]._rescued_data is None and rows[2]._rescued_data == "2,bob,x" and rows[2].amount is None and rows[3]._rescued_data == "north"
+    # A restart declares the wider schema and goes on from the checkpoint.
+    (src / "c.csv").write_text("order_id,customer,amount,region\n4,dan,1.0,south\n")
+    ingest.append_all(read("order_id int, customer string, amount double, region string"), out, str(tmp_path / "cp"))
+    rows = {r.order_id: r for r in spark.read.option("mergeSchema", "true").parquet(out).collect()}
+    assert rows[4].region == "south" and rows[3].region is None and len(rows) == 4
+
+
+def test_tables_by_sql(spark, tmp_path):
+    from orelake.operators import secure
+
+    spark.sql("CREATE SCHEMA IF NOT EXISTS lake")
+    spark.sql("CREATE TABLE lake.snap USING parquet AS SELECT id, current_timestamp() AS _ingested_at FROM VALUES (1), (2) AS t(id)")
+    spark.sql("INSERT INTO lake.snap VALUES (3, current_timestamp())")
+    assert spark.table("lake.snap").count() == 3 and "snap" in [r.tableName for r in spark.sql("SHOW TABLES IN lake").collect()]
+    user = spark.sql("SELECT current_user()").first()[0]
+    spark.createDataFrame([(user, "a", False)], "user_email string, segment string, full_access boolean").createOrReplaceTempView("access_of")
+    spark.createDataFrame([("a", "x"), ("b", "y")], "segment string, name string").createOrReplaceTempView("people")
+    secure.create_secure_view(spark, "seen", "people", "access_of", "segment", "name")
+    assert [tuple(r) for r in spark.table("seen").collect()] == [("a", "***")]
+    spark.sql("DROP SCHEMA lake CASCADE")
+
+
+def test_store_then_gate(spark, tmp_path):
+    from orelake import more
+
+    bronze = N.parse_orders(spark.createDataFrame(generate.orders(50, 1, end=END), generate.RAW))
+    checks = [c if c["check"]["function"] != "is_not_in_future" else {**c, "check": {**c["check"], "arguments": {**c["check"]["arguments"], "now": "timestamp'2026-01-01 00:00:00'"}}} for c in more.SILVER_CHECKS]
+    path = tmp_path / "checks.json"
+    path.write_text(__import__("json").dumps(checks))
+    loaded = quality.load_checks(str(path))
+    flagged = quality.apply_checks(bronze, loaded)
+    table = Table(spark, f"file://{tmp_path}/issues")
+    table.append(quality.issues(flagged))
+    results = quality.declared_results(flagged, loaded, "silver", "orders")
+    with pytest.raises(quality.DataQualityError, match="dqx_silver_amount_in_range"):
+        quality.gate(results)
+    assert table.read().count() == 11  # each fault, and the row that the duplicate repeats
+    with pytest.raises(ValueError):
+        quality.validate_checks([{"name": "x", "check": {"function": "no_such"}}])
+
+
+def test_volume_log(spark):
+    from orelake.operators import monitor
+
+    log = spark.createDataFrame([], "run_ts timestamp, table_name string, total_rows long, new_rows long")
+    for day, n in ((1, 100), (2, 130), (3, 130)):
+        log = monitor.logged(log, "fact", spark.createDataFrame([(n,)], "total_rows long"), f"2026-01-0{day} 00:00:00")
+    assert [r.new_rows for r in log.orderBy("run_ts").collect()] == [100, 30, 0]

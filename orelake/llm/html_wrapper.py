@@ -42,8 +42,8 @@ from .util import BROADCAST_BYTES, arrow_map, cut, ship
 
 #: Pages that must have a text for it to be template, and the share of the host's pages; pages merged into a wrapper.
 ENOUGH, SHARE, SAMPLE = 4, 0.9, 16
-#: Hosts in a task's memory.
-HOSTS_KEPT = 2000
+#: Hosts in a task's memory; salts of the sample's choice.
+HOSTS_KEPT, SALTS = 2000, 16
 
 #: Elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -393,7 +393,10 @@ def induce(pages: DataFrame) -> DataFrame:
     different = cut(d.groupBy("host", "d").agg(F.count("*").alias("c")))
     sizes = different.groupBy("host").agg(F.count("*").alias("pages"))
     enough = cut(sizes.where(F.col("pages") >= ENOUGH))
-    first = different.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("d"))).where(F.col("k") <= SAMPLE)
+    # The smallest digests, salted first: each step's group is of a size that neither pages nor tasks add to.
+    smallest = lambda x, *by: x.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("d"))).where(F.col("k") <= SAMPLE)
+    first = smallest(different.withColumn("salt", F.pmod(F.xxhash64("d"), F.lit(SALTS))), "host", "salt")
+    first = smallest(first, "host")
     first = cut(first.join(_side(enough, enough.count() * 64), "host").select("host", "d"))
     sample = d.join(_side(first, first.count() * 128), ["host", "d"], "left_semi").dropDuplicates(["host", "d"])
 

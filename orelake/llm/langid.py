@@ -78,7 +78,7 @@ class Model:
             table[gram] = np.log((v + 0.2) / (totals[k] + 0.2 * kinds[k])).astype(np.float32)
         self.rows = _Rows(zip(table, range(len(table))))
         unseen = [np.log(0.2 / (totals[k] + 0.2 * max(1, kinds[k]))).astype(np.float32) for k in (1, 2, 3)]
-        self.matrix = np.array([*table.values(), *unseen], np.float32).reshape(-1, n)
+        self.matrix = np.array([*table.values(), *unseen], np.float32).reshape(len(table) + 3, n)
         self.rows.seen = len(table)
         own = sum(scripts.values(), np.zeros(n))
         writes = {s: (v > 0) & (v >= 0.01 * own) for s, v in scripts.items()}

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import cut, join_side
+from .util import BROADCAST_BYTES, cut, join_side
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -102,7 +102,9 @@ def find_secrets(docs: DataFrame, max_owners: int = 2, id_col: str = "doc_id", t
     live = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
     by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.kind", "s.end", "s.value", "owners", "repos", live.alias("live")))).alias("judged"))
     by_row = cut(by_row)
-    out = join_side(s.drop("base", "mixed"), by_row, "row", "left", 200)
+    bytes_ = F.aggregate("judged", F.lit(32).cast("long"), lambda n, x: n + F.octet_length(x["value"]) + 64)
+    width = by_row.agg(F.sum(bytes_)).first()[0] or 0
+    out = s.drop("base", "mixed").join(F.broadcast(by_row) if width <= BROADCAST_BYTES else by_row.hint("merge"), "row", "left")
     out = out.withColumn("judged", F.coalesce("judged", F.from_json(F.lit("[]"), _JUDGED)))
     base, mixed = F.filter("judged", lambda x: x["kind"] < 3), F.filter("judged", lambda x: x["kind"] == 3)
     out = out.select("id", "n0", "n1", "n2", base.alias("base"), mixed.alias("mixed"))

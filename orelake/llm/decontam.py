@@ -10,8 +10,10 @@ steps to a sampled position; the hits are merged into removal spans.
 A window is ``size`` consecutive item words; an item of fewer words, but not none, is one window. Words are
 ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased.
 
-The benchmark goes to the executors in blocks of bounded size, each searched in turn, so no broadcast grows with it.
-Nothing is shuffled: a passage that a third of all documents hold costs its own occurrences only.
+The benchmark is read row by row in blocks of bounded size, of which at most ``GROUP`` are at the driver and the executors
+at a time, so no broadcast grows with it. A larger benchmark takes several rounds over the documents: what a round finds is
+stored with the rows in the shared folder, and its broadcasts are freed before the next. Nothing is shuffled: a passage that
+a third of all documents hold costs its own occurrences only.
 
 Defined cases: a null text has no words; a null item text has no window; a null item_id is left out of items but its
 windows hit; repeated items and rows each count; empty tables give no hits or no rows.
@@ -20,16 +22,16 @@ windows hit; repeated items and rows each count; empty tables give no hits or no
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import arrow_map, masked, only
+from .util import arrow_map, cut, masked, only
 
-#: Words in a window; suffix positions kept; words in a shard's index; words of benchmark text in a block.
-SIZE, SAMPLE, SHARD_WORDS, SHARD_DOCS, BLOCK_WORDS = 10, 8, 1 << 19, 4096, 1 << 20
+#: Words in a window; suffix positions kept; words in a shard's index; words of benchmark text in a block; blocks at a time.
+SIZE, SAMPLE, SHARD_WORDS, SHARD_DOCS, BLOCK_WORDS, GROUP = 10, 8, 1 << 19, 4096, 1 << 20, 4
 
 #: In UTF-8 the excluded characters are the ASCII ones that aren't digits or small letters.
 _word = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -184,33 +186,41 @@ class Patterns:
                 yield docs[r], p - starts[r][0] + starts[r][1], k, items[w]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[list[tuple]]:
-    """The benchmark in blocks of bounded size, read row by row."""
-    out, held, n = [], [], 0
+def _groups(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[list[tuple]]]:
+    """The benchmark, read row by row, in groups of at most ``GROUP`` blocks; an empty one is one empty group."""
+    group, held, n, some = [], [], 0, False
     for item, text in only(items, id_col, text_col).toLocalIterator():
         held.append((item, text))
         n += len(text or "") // 5 + 1
         if n > BLOCK_WORDS:
-            out.append(held)
+            group.append(held)
             held, n = [], 0
-    return [*out, held] if held else out
+            if len(group) == GROUP:
+                yield group
+                group, some = [], True
+    if held:
+        group.append(held)
+    if group or not some:
+        yield group
 
 
 def scan(it: Iterator[tuple], at: int, blocks: list, size: int) -> Iterator[tuple[tuple, int, list[list[int]], list[str]]]:
-    """Goes through rows, whose texts stand at ``at``, shard by shard: (row, words, merged spans, items with a hit)."""
-    patterns: list[Patterns | None] = [None] * len(blocks)
+    """Goes through rows, whose texts stand at ``at``, shard by shard: (row, words, merged spans, items with a hit).
+
+    A row ends in the spans and items of earlier rounds, which are merged with what these blocks add.
+    """
+    patterns: list[Patterns] = []
 
     def flush(held: list[tuple]) -> Iterator[tuple]:
-        hits: list[list] = [[] for _ in held]
-        named: list[set] = [set() for _ in held]
-        for i, b in enumerate(blocks):
-            p = patterns[i] or Patterns(b.value, size)
-            if len(blocks) <= 4:
-                patterns[i] = p
+        if not patterns:
+            patterns.extend(Patterns(b.value, size) for b in blocks)
+        hits: list[list] = [list(row[-2] or ()) for row, _ in held]
+        named: list[set] = [set(row[-1] or ()) for row, _ in held]
+        for p in patterns:
             get, known, none = p.ids.get, p.ids.keys(), np.zeros(0, np.int64)
             shard = [np.fromiter((get(w, 1) for w in ws), np.int64, len(ws)) if p.shortest and not known.isdisjoint(ws) else none for _, ws in held]
             for d, start, k, items in p.find(shard):
-                hits[d].append((start, start + k))
+                hits[d].append([start, start + k])
                 named[d].update(items)
         for (row, ws), spans, items in zip(held, hits, named):
             merged: list[list[int]] = []
@@ -232,17 +242,35 @@ def scan(it: Iterator[tuple], at: int, blocks: list, size: int) -> Iterator[tupl
     yield from flush(held)
 
 
+def _rounds(inner: DataFrame, at: int, groups: Iterator[list], size: int, finish: Callable[..., tuple], schema: str) -> DataFrame:
+    """``finish(row, words, spans, items)`` of each row after all groups of blocks; ``inner`` has masked column names."""
+    sc = inner.sparkSession.sparkContext
+    none = F.lit(None)
+    d = inner.withColumns({"spans": none.cast("array<array<bigint>>"), "items": none.cast("array<string>")})
+    carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema)
+
+    def search(d: DataFrame, blocks: list, last: Callable[..., tuple], schema: str) -> DataFrame:
+        return arrow_map(d, lambda it: (last(*found) for found in scan(it, at, blocks, size)), schema)
+
+    blocks: list | None = None
+    for group in groups:
+        if blocks is not None:
+            d = cut(search(d, blocks, lambda row, _, spans, items: (*row[:-2], spans, items), carried))
+            for b in blocks:
+                b.destroy()
+        blocks = [sc.broadcast(b) for b in group]
+    return search(d, blocks or [], finish, schema)
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """For each row: its id, ``n_words``, ``n_hit``, ``spans`` (merged, in words, end exclusive) and ``items`` (sorted)."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in _blocks(benchmark, item_col, item_text)]
+    inner, _, _ = masked(only(docs, id_col, text_col))
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        for row, n, spans, items in scan(it, 1, blocks, size):
-            yield row[0], n, sum(b - a for a, b in spans), spans, items
+    def finish(row: tuple, n: int, spans: list, items: list) -> tuple:
+        return row[0], n, sum(b - a for a, b in spans), spans, items
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(only(docs, id_col, text_col), rows, f"{id_col} {kind}, n_words long, n_hit long, spans array<array<long>>, items array<string>")
+    return _rounds(inner, 1, _groups(benchmark, item_col, item_text), size, finish, f"{id_col} {kind}, n_words long, n_hit long, spans array<array<long>>, items array<string>")
 
 
 def remove_spans(text: str | None, spans: list[list[int]]) -> str | None:
@@ -260,16 +288,13 @@ def remove_spans(text: str | None, spans: list[list[int]]) -> str | None:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the hit spans cut out of the text; other rows and columns stay as they are."""
-    sc = docs.sparkSession.sparkContext
-    blocks = [sc.broadcast(b) for b in _blocks(benchmark, "item_id", "text")]
     at = docs.columns.index(text_col)
     inner, _, back = masked(docs)
 
-    def rows(it: Iterator[tuple]) -> Iterator[tuple]:
-        for row, _, spans, _ in scan(it, at, blocks, size):
-            yield (*row[:at], remove_spans(row[at], spans), *row[at + 1 :]) if spans else row
+    def finish(row: tuple, n: int, spans: list, items: list) -> tuple:
+        return (*row[:at], remove_spans(row[at], spans), *row[at + 1 : -2])
 
-    return back(arrow_map(inner, rows, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema)))
+    return back(_rounds(inner, at, _groups(benchmark, "item_id", "text"), size, finish, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema)))
 
 
 def leak_digests(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:

@@ -332,6 +332,34 @@ def test_decontamination(spark, docs, rows):
     assert all((clean[r[0]] == r[1]) == (not h[2]) for r, h in zip(rows, sorted(want)) if h[2] != len(w(r[1])) or not h[2])
 
 
+def test_decontamination_in_rounds_and_shards(spark, docs, rows, monkeypatch):
+    cuts = [" ".join(r[1].split()[k : k + 14]) for r in rows if r[1] and len(r[1].split()) > 40 for k in (3, 9, 25)]
+    cuts = cuts[:24]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(cuts)] + [(None, cuts[0]), (3, None)], "item_id long, text string").coalesce(3)
+    leaks = lambda: sorted(map(tuple, decontam.find_leaks(docs, bench).collect()), key=repr)
+    clean = lambda: sorted(map(tuple, decontam.decontaminate(docs, bench).collect()), key=repr)
+    whole, kept = leaks(), clean()
+    assert any(x[2] for x in whole) and any(len(x[4]) > 1 for x in whole)
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", 60)
+    monkeypatch.setattr(decontam, "GROUP", 2)
+    assert len(list(decontam._groups(bench, "item_id", "text"))) >= 3
+    assert leaks() == whole and clean() == kept
+    empty = bench.limit(0)
+    assert len(list(decontam._groups(empty, "item_id", "text"))) == 1 and decontam.find_leaks(docs, empty).where("n_hit > 0").count() == 0
+
+    class Block:
+        value = list(enumerate(cuts))
+
+    def scanned():
+        return [(row[0], n, spans, items) for row, n, spans, items in decontam.scan(iter([(*r, None, None) for r in rows]), 1, [Block], 10)]
+
+    one = scanned()
+    monkeypatch.setattr(decontam, "SHARD_DOCS", 3)
+    assert scanned() == one
+    monkeypatch.setattr(decontam, "SHARD_WORDS", 50)
+    assert scanned() == one
+
+
 def test_fm_index():
     import numpy as np
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _EVAL, _TYPED, _access, _check_sql, over, with_raw
 from .functions import normalize as N
-from .operators import derive, gold, merge, monitor, quality, retrieve, scd2, secure, star
+from .operators import derive, gold, merge, monitor, quality, retrieve, scd2, secure, star, text
 from .store import cut
 
 # --- runs of checks -----------------------------------------------------------------------------------------------------
@@ -267,3 +267,75 @@ def reembed_set(t):
     e = t.events.where(F.col("event_type").isin("click", "view"))
     now = e.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("decimal(28,4)").alias("total"))
     return merge.snapshot_diff(now.limit(0), now, ["user_id"]).where("_change_type <> 'delete'").drop("_change_type")
+
+
+@over(sql="""SELECT TRY_CAST(id AS INTEGER) AS city_id, trim(name) AS city, TRY_CAST(people AS BIGINT) AS population, CAST(TRY_CAST(day AS DATE) AS VARCHAR) AS effective_date FROM (
+SELECT CAST(s_suppkey AS VARCHAR) AS id, '  ' || s_name || ' ' AS name, CASE WHEN s_suppkey % 7 = 0 THEN 'n/a' ELSE CAST(s_suppkey * 1000 AS VARCHAR) END AS people, CASE WHEN s_suppkey % 5 = 0 THEN 'soon' ELSE '2020-01-0' || (1 + s_suppkey % 9) END AS day FROM supplier)""")
+def typed_cities(t):
+    """Texts of a feed in their types; what can't be read is null."""
+    k = F.col("s_suppkey")
+    raw = t.supplier.select(
+        k.cast("string").alias("city_id"),
+        F.concat(F.lit("  "), "s_name", F.lit(" ")).alias("city"),
+        F.when(k % 7 == 0, "n/a").otherwise((k * 1000).cast("string")).alias("population"),
+        F.when(k % 5 == 0, "soon").otherwise(F.concat(F.lit("2020-01-0"), (1 + k % 9).cast("string"))).alias("effective_date"),
+    )
+    return N.typed(raw, {"city_id": "int", "city": "string", "population": "bigint", "effective_date": "date"}).withColumn("effective_date", F.col("effective_date").cast("string"))
+
+
+@over(sql="SELECT unnest(['readers', 'readers', 'analyst']) AS principal, unnest(['gold.agg_daily', 'gold.fact_orders', 'gold.fact_orders']) AS table_name")
+def readable_tables(t):
+    """What readers of a whole schema, an analyst of one table, and one without USE SCHEMA may read."""
+    access = secure.grants(t.spark, {"gold": {"readers": ["USE SCHEMA", "SELECT"], "analyst": ["USE SCHEMA"]}, "gold.fact_orders": {"analyst": ["SELECT"], "guest": ["SELECT"]}, "silver": {"guest": ["USE SCHEMA"]}})
+    tables = t.spark.sql("SELECT * FROM VALUES ('gold.fact_orders'), ('gold.agg_daily'), ('silver.orders') AS t(table_name)")
+    return secure.readable(access, tables)
+
+
+@over(sql="SELECT c_custkey AS customer_id, c_name AS name, c_mktsegment AS segment, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS revenue FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' GROUP BY ALL ORDER BY revenue DESC, customer_id LIMIT 10")
+def top_customers_of_status(t):
+    """Sums by key before the join, so that names travel with ten rows."""
+    sums = t.orders.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(28,2)").alias("revenue"))
+    known = t.customer.select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return sums.join(known, F.col("o_custkey") == F.col("customer_id")).select("customer_id", "name", "segment", "orders", "revenue").orderBy(F.desc("revenue"), "customer_id").limit(10)
+
+
+@over(sql="SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(quarter(o_orderdate) AS INTEGER) AS quarter, dayofweek(o_orderdate) IN (0, 6) AS is_weekend, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS revenue FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '2001-12-31' GROUP BY ALL")
+def revenue_by_quarter(t):
+    """Orders joined with the date dimension on the date; summed by day first."""
+    days = t.orders.groupBy(F.to_date("o_orderdate").alias("date")).agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("s"))
+    j = days.join(t.dates().select("date", "year", "quarter", "is_weekend"), "date")
+    return j.groupBy("year", "quarter", "is_weekend").agg(F.sum("n").alias("orders"), F.sum("s").cast("decimal(28,2)").alias("revenue"))
+
+
+@over(sql="""WITH q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'), j AS (SELECT q.*, a.text AS answer FROM q LEFT JOIN a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1)
+SELECT conv_id || '-' || turn AS request_id, length(text) AS question_chars, CASE WHEN turn % 4 = 0 THEN 'rag' ELSE 'no_rag' END AS mode, CASE WHEN turn % 4 = 0 THEN 'large' END AS chunk_profile, CASE WHEN turn % 4 = 0 THEN 3 END AS top_k, CASE WHEN turn % 4 = 0 THEN 'a.md,b.md,c.md' ELSE '' END AS retrieved_docs, CASE WHEN answer IS NULL THEN NULL WHEN turn % 4 = 0 THEN 'a.md,c.md' ELSE '' END AS cited_docs, answer IS NOT NULL AND lower(trim(answer)) LIKE 'i don''t know based on%' AS abstained FROM j""")
+def request_records(t):
+    """The record of each question with its recorded answer; every fourth turn's had three passages and cites two."""
+    c = t.conversations
+    q = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    a = c.where("role = 'assistant'").select("conv_id", "turn", F.concat("text", F.lit(" [3] [1] [9] [3]")).alias("answer"))
+    chunks = F.array(*[F.struct(F.lit(f"large:{d}:0000").alias("chunk_id"), F.lit(d).alias("doc_path"), F.lit(0.5).alias("score")) for d in ("a.md", "b.md", "c.md")])
+    at = F.col("turn") - 1
+    asked = q.join(a, ["conv_id", "turn"], "left").select(F.concat_ws("-", "conv_id", at).alias("request_id"), "question", "answer", F.when(at % 4 == 0, chunks).alias("chunks"), F.lit(1).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"), F.lit(1).alias("latency_ms"))
+    r = retrieve.record(asked, "large", 3)
+    return r.select("request_id", F.length("question").alias("question_chars"), "mode", "chunk_profile", "top_k", F.array_join("retrieved_docs", ",").alias("retrieved_docs"), F.array_join("cited_docs", ",").alias("cited_docs"), F.coalesce("abstained", F.lit(False)).alias("abstained"))
+
+
+_DOT = "list_dot_product(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
+_NEAR = f"q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), near AS (SELECT vec_id, label, row_number() OVER (ORDER BY {_DOT.format('embedding', 'v')} / (sqrt({_DOT.format('embedding', 'embedding')}) * sqrt({_DOT.format('v', 'v')})) DESC, vec_id) AS i FROM embeddings, q)"
+
+
+@over(sql=f"""WITH {_NEAR}, c AS (SELECT string_agg('[' || i || '] doc ' || vec_id || ' > ' || CASE WHEN label % 2 = 0 THEN 'Overview' ELSE 'part ' || label END || chr(10) || 'vector ' || vec_id, chr(10) || chr(10) ORDER BY i) AS s FROM near WHERE i <= 5)
+SELECT 'user' AS role, 'Passages:' || chr(10) || chr(10) || s || chr(10) || chr(10) || 'Question: what is near?' AS content FROM c""")
+def prompt_of_nearest(t):
+    """The question as a chat model gets it, with its five nearest passages."""
+    q = t.embeddings.where("vec_id = 0").select("embedding").first()[0]
+    near = retrieve.retrieve(t.embeddings, q, 5)
+    of = F.struct(F.negative("score"), "vec_id", F.concat(F.lit("doc "), "vec_id").alias("doc_title"), F.when(F.col("label") % 2 == 0, "").otherwise(F.concat(F.lit("part "), "label")).alias("section"), F.concat(F.lit("vector "), "vec_id").alias("content"))
+    context = retrieve.format_context(F.sort_array(F.collect_list(of)))
+    return near.agg(F.explode(retrieve.messages(F.lit("what is near?"), context)).alias("m")).select("m.role", "m.content").where("role = 'user'")
+
+
+@over()
+def document_chunks_large(t):
+    return text.chunk_documents(t.documents, "doc_id", "text", "large").select("chunk_id", "doc_path", "section", "chunk_index", "char_count", "content_hash")

@@ -52,6 +52,12 @@ def widened(schema: str, sample: DataFrame, value: str = "value") -> str:
     return ", ".join([schema, *[f"`{r.k}` string" for r in seen.collect() if r.k not in have]])
 
 
+def whole_texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
+    """Files as one text each, below ``path`` at any depth: doc_path, text, size, modified."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
+    return raw.select(F.col("_metadata.file_path").alias("doc_path"), F.col("value").alias("text"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
+
+
 def kafka(spark: SparkSession, servers: str, topic: str, starting: str = "earliest", **options: str) -> DataFrame:
     """A topic as it is; needs the connector on the class path. Decode with ``normalize.decode_json``."""
     return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting).options(**options).load()

@@ -217,6 +217,9 @@ def test_federation(spark, tmp_path):
     q = spark.sql("SELECT count(*) AS n, sum(AMT) AS s FROM fed.APP.ORD WHERE ST = 'F'")
     assert tuple(q.first()) == (1, 2.0)
     assert "PushedAggregates: [COUNT(*)" in q._jdf.queryExecution().toString()
+    spark.createDataFrame([("F", True), ("O", False)], "code string, done boolean").createOrReplaceTempView("local_status")
+    j = spark.sql("SELECT done, sum(AMT) AS s FROM fed.APP.ORD JOIN local_status ON ST = code GROUP BY done")
+    assert {tuple(r) for r in j.collect()} == {(True, 2.0), (False, 3.0)}
 
 
 def test_entry_survives_without_corpus_operators(tmp_path):
@@ -304,3 +307,24 @@ def test_volume_log(spark):
     for day, n in ((1, 100), (2, 130), (3, 130)):
         log = monitor.logged(log, "fact", spark.createDataFrame([(n,)], "total_rows long"), f"2026-01-0{day} 00:00:00")
     assert [r.new_rows for r in log.orderBy("run_ts").collect()] == [100, 30, 0]
+
+
+def test_whole_texts(spark, tmp_path):
+    (tmp_path / "docs" / "deep").mkdir(parents=True)
+    (tmp_path / "docs" / "a.md").write_text("---\ntitle: A\n---\n# One\n\ntext\n")
+    (tmp_path / "docs" / "deep" / "b.md").write_text("")
+    (tmp_path / "docs" / "c.txt").write_text("no")
+    got = {r.doc_path.rsplit("/", 1)[1]: (r.text, r.size) for r in files.whole_texts(spark, str(tmp_path / "docs")).collect()}
+    assert got["a.md"][0].startswith("---\ntitle: A\n---\n") and got["a.md"][1] == (tmp_path / "docs" / "a.md").stat().st_size and "c.txt" not in got
+
+
+def test_request_record_and_log(spark):
+    from orelake.operators import retrieve
+
+    kind = "request_id string, question string, answer string, prompt_tokens int, completion_tokens int, latency_ms int, chunks array<struct<chunk_id:string,doc_path:string,score:double>>"
+    asked = spark.createDataFrame([("1", "q", f"{retrieve.ABSTAIN}", 1, 2, 3, None), ("2", "q", "It is so [2][7].", 1, 2, 3, [("c1", "a", 0.5), ("c2", "b", 0.25)])], kind)
+    log = retrieve.logged(retrieve.record(asked, "small", 2, model="m", where={"doc_path": "a"}))
+    assert log.columns == ["request_id", "logged_at", "user_name", *retrieve.RECORD[1:]]
+    one, two = log.orderBy("request_id").collect()
+    assert one.abstained and one["mode"] == "no_rag" and one.top_k is None and one.filters is None and one.retrieved_ids == [] and one.cited_docs == []
+    assert not two.abstained and two.top_k == 2 and two.filters == '{"doc_path": "a"}' and two.scores == [0.5, 0.25] and two.cited_docs == ["b"]
